@@ -1,9 +1,13 @@
 """All registered queries with the SQL that checks them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from tessera.plans import frames, sql
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: sql.query(name) for name in sql.SQL} | frames.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql.oracle_text(name) for name in sql.SQL} | frames.ORACLE
