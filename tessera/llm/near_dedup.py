@@ -14,8 +14,11 @@ from .tokens import ODD, Words, mix, shingle_sets, slices, text_bytes
 
 #: Slots of a signature and rows of a band: 32 bands miss a pair of similarity 0.8 once in 2e7.
 SLOTS, ROWS = 128, 4
-#: Rounds of comparing each bucket with one member before what is left is compared in full.
-HUB_ROUNDS = 4
+#: Members that the buckets of one group are compared with in a round, and rounds at most.
+HUBS = 4
+ROUNDS = 2
+#: Once the pairs left are at most so many times the first round's members, they are compared in full.
+LEFT = 1
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -114,12 +117,51 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Each bucket's hub with its other members of other components."""
     pairs = members.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & (F.col("label") != F.col("hub.label")))
-    return _near_sizes(pairs.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")), percent)
+    return _possible(pairs.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("hub.own").alias("oa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob")), percent)
 
 
-def _near_sizes(pairs: DataFrame, percent: int) -> DataFrame:
-    """Sets whose sizes differ too much can't reach the similarity."""
-    return pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can reach the similarity: of sets with n shingles, `own` of them in no other set, at most
+    the least n - own is common, and each set's own shingles are in the union besides."""
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.filter(sizes & (100 * most >= percent * (most + F.col("oa") + F.col("ob")))).select("a", "b").distinct()
+
+
+def _link(pairs: DataFrame, sets: DataFrame, percent: int, edges: DataFrame | None, kept: Written) -> DataFrame:
+    """The edges with the pairs that prove similar."""
+    found = materialize(_similar(materialize(pairs, kept), sets, percent), kept)
+    return found if edges is None else materialize(edges.union(found), kept)
+
+
+def _still_open(members: DataFrame, labels: DataFrame, kept: Written) -> tuple[DataFrame, int]:
+    """The members, with their component, of buckets that hold several; and how many pairs across components those have."""
+    now = members.drop("label").join(labels, "id", "left").select("bucket", "id", "n", "own", F.coalesce("component", "id").alias("label"))
+    now = materialize(now, kept)
+    each = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
+    open_ = materialize(each.groupBy("bucket").agg(pairs.alias("pairs")).filter("pairs > 0"), kept)
+    total = open_.agg(F.sum("pairs")).first()[0] or 0
+    return materialize(now.join(open_.select("bucket"), "bucket"), kept), int(total)
+
+
+def _by_rare_shingle(members: DataFrame, sets: DataFrame, percent: int, kept: Written) -> DataFrame:
+    """The members dealt anew: to a bucket for each shingle of their prefix.
+
+    Documents that share a passage fill a bucket of bands without being similar.
+    In any order of all shingles, sets of similarity t share one of the first
+    n - ceil(t n) + 1 of each (prefix filter). The order here is by how many of
+    these sets have a shingle, the rarest first, so a common passage comes last
+    and stays out of the prefixes unless it is most of a document. No link is
+    lost: the filter is exact. `own` is how many shingles no other set has.
+    """
+    ids = materialize(members.select("id", "n", "label").distinct(), kept)
+    mine = materialize(sets.dropDuplicates(["id"]).join(small(ids, ids.count()), "id").select("id", "n", "label", F.explode("shingles").alias("bucket")), kept)
+    held = materialize(mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), kept)
+    each = mine.join(held, "bucket").groupBy("id", "n", "label").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("order"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    own = F.size(F.filter("order", lambda o: o["c"] == 1)).cast("long")
+    return each.withColumn("own", own).select("id", "n", "own", "label", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("o")).filter("o.c > 1").select("o.bucket", "id", "n", "own", "label")
 
 
 def link_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
@@ -134,9 +176,11 @@ def link_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: in
     compared by rounds: in each bucket one member with all others that are not
     yet in its component, after which it leaves the bucket. Buckets of one
     component drop out, so a group of near copies costs its size, not its
-    square. What is left in the end is compared in full. A pair is compared
-    unless it is in one component already or its sizes rule it out, and links
-    only on full sets.
+    square. If many pairs are left after a round, as among documents that share a
+    passage, buckets are made anew by rare shingles. Rounds go on until no more
+    pairs are left than there were members, ROUNDS at most; what is left is
+    compared in full. A pair is compared unless it is in one component
+    already or its sizes rule it out, and links only on full sets.
 
     Returns id, n_shingles, component_id (least id reachable). Null and empty
     texts have an empty set and link with nothing.
@@ -150,29 +194,26 @@ def link_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: in
     member = signed.join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("bucket")
     shared = materialize(shared, kept)  # as a table of its own, it leaves the join free to split a large bucket
-    members = materialize(member.join(shared, "bucket").select("bucket", "id", "n", F.col("id").alias("label")), kept)
+    members = materialize(member.join(shared, "bucket").select("bucket", "id", "n", F.lit(0).cast("long").alias("own"), F.col("id").alias("label")), kept)
     wanted = materialize(members.select("id").distinct(), kept)
     sets = materialize(arrow(base.join(small(wanted, wanted.count()), "id", "left_semi"), _sets(k), "id long, shingles array<long>"), kept)
-    edges, labels = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        last = turn == HUB_ROUNDS
-        if last:
-            x, y = (members.select("bucket", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
-            pairs = _near_sizes(x.join(y, "bucket").filter("a < b and la <> lb"), percent)
-        else:
-            hubs = materialize(members.groupBy("bucket").agg(F.min(F.struct("id", "n", "label")).alias("hub")), kept)
-            pairs = _hub_pairs(members, hubs, percent)
-        found = materialize(_similar(materialize(pairs, kept), sets, percent), kept)
-        edges = found if edges is None else materialize(edges.union(found), kept)
+    enough, edges, turn = LEFT * members.count(), None, 0
+    while True:
+        # a bucket's hub is its least member by a hash with one of HUBS salts, so buckets of one group have several
+        order = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(HUBS))).alias("h"), "id", "n", "own", "label")
+        hubs = materialize(members.groupBy("bucket").agg(F.min(order).alias("hub")), kept)
+        edges = _link(_hub_pairs(members, hubs, percent), sets, percent, edges, kept)
         labels = materialize(components(edges, kept), kept)
-        if last:
-            break
-        left = members.join(hubs, "bucket").filter("id <> hub.id").drop("hub", "label").join(labels, "id", "left")
-        left = left.select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-        open_ = left.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
-        members = materialize(left.join(materialize(open_, kept), "bucket"), kept)
-        if not members.limit(1).count():
+        members, pairs = _still_open(members.join(hubs, "bucket").filter("id <> hub.id").drop("hub"), labels, kept)
+        turn += 1
+        if turn == 1 and pairs > enough:
+            members, pairs = _still_open(_by_rare_shingle(members, sets, percent, kept), labels, kept)
+        if pairs <= enough or turn == ROUNDS:
             break
+    if pairs:
+        x, y = (members.select("bucket", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("own").alias(f"o{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
+        edges = _link(_possible(x.join(y, "bucket").filter("a < b and la <> lb"), percent), sets, percent, edges, kept)
+        labels = materialize(components(edges, kept), kept)
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = one.join(of_class, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     done = materialize(out)
