@@ -14,12 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Cache
+from .bpe import Cache, byte_letters
 from .common import Written, arrow, documents, materialize, numbered
 from .tokens import slices
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
+#: Entries of each word cache in a Python worker; twice as many are held at most.
+CACHE_WORDS = 250_000
 
 
 class ByteBPE:
@@ -38,11 +40,24 @@ class ByteBPE:
         self.whole = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"\s\s|[^\S \n]|\x00")
-        self.words = Cache(self.encode_whole)
+        self.letters = byte_letters()
+        self.words = Cache(self._word, CACHE_WORDS)
+        self.parts = Cache(self._part, CACHE_WORDS)
 
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of what the split pattern leaves whole."""
+        return array("I", [t.id for t in self.whole.model.tokenize("".join([self.letters[b] for b in part.encode()]))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word: Latin letters, and the punctuation behind them, are parts of their own; all else goes to the tokenizer."""
+        stem = word.rstrip(".,!?;:")
+        if stem[stem.startswith(" ") :].isalpha() and max(stem) < "\u0250":
+            return self.parts[stem] + self.parts[word[len(stem) :]]
+        return self.encode_whole(word)
+
     def encode(self, text: str) -> bytes:
         """Packed unsigned 32-bit ids."""
         if self.odd.search(text) or any(s in text for s in self.specials):
