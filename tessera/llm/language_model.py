@@ -28,7 +28,6 @@ END, START = np.uint64(0xE4D), np.uint64(0x57A27)
 BUCKETS = 20
 #: Probabilities are rounded to GRID steps an octave to learn the weights.
 GRID, EM_ROUNDS = 4, 40
-LONGS = np.dtype("<u8")
 
 
 def _keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +85,21 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x.astype(kind)).tobytes()
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their differences, of which the upper ones are nearly all zero."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).tobytes())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _batches(learn: str):
     """Rows of one batch each: id, texts packed with their ids. `learn` is a boolean column."""
 
@@ -142,7 +156,9 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _ask(buckets: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
                 b, _, _ = _read(row)
@@ -150,8 +166,7 @@ def _ask(buckets: int):
                     of = _bucket_of(keys, buckets)
                     cut = np.searchsorted(of, np.arange(buckets + 1))
                     some = np.flatnonzero(np.diff(cut))
-                    wide = "u1" if not len(counts) or counts.max() < 256 else "<u4"
-                    part = [(int(k), _pack(keys[cut[k] : cut[k + 1]], "<u8"), _pack(counts[cut[k] : cut[k + 1]], wide)) for k in some]
+                    part = [(int(k), _pack_keys(keys[cut[k] : cut[k + 1]]), squeeze.compress(_pack(counts[cut[k] : cut[k + 1]], "<u4"))) for k in some]
                     yield pa.RecordBatch.from_arrays([pa.array([2 * p[0] + kind for p in part], pa.int64()), pa.array([row["batch"]] * len(part), pa.int64()), pa.array([p[1] for p in part], pa.binary()), pa.array([p[2] for p in part], pa.binary())], names=["bucket", "batch", "keys", "counts"])
 
     return run
@@ -162,9 +177,9 @@ def _answer(table):
     import pyarrow as pa
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1)
-    keys = [np.frombuffer(k, LONGS) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, "u1" if len(c) == len(k) else "<u4") for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
+    squeeze, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor().decompress
+    keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+    counts = [np.frombuffer(open_(c), "<u4") for c in table.column("counts").to_pylist()]
     cut = np.cumsum([0, *map(len, keys)])
     distinct, total, at = _distinct(np.concatenate(keys), np.concatenate(counts).astype(np.float64))
     found = total[at]
