@@ -17,8 +17,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit.
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Where a text is cut into parts: before a word, and behind a label's sign or an opening bracket or quote.
+PIECE = r"(?<=\s)(?=\S)|(?<=[:=#(<\['\x22])(?=[^\s:=#(<\['\x22])"
+#: What may stand where a seed of a kind stands: for an email an address written in words, else any word; for the others digit groups joined over spaces, else a word with a digit.
+AT, DOT = r"(?:\x20?[(\[<{]\x20?at\x20?[)\]>}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[(\[<{]\x20?dot\x20?[)\]>}]\x20?|\x20dot\x20)"
+WRITTEN = rf"[\p{{L}}\p{{N}}._%+-]++{AT}[\p{{L}}\p{{N}}._-]++(?:{DOT}[\p{{L}}\p{{N}}._-]++)*+"
+SHAPES = {"email": rf"^(?i:{WRITTEN}|\S++)", "number": r"^(?:[+(]*[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)+|[^\s0-9]*+[0-9]\S*+)"}
+#: Parts of a block, and parts before and from a place that are looked at.
+BLOCK, BEFORE, AFTER = 64, 12, 12
 #: Distinct seeds that a context must have, the confidence that it must keep, and rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 CONTEXT = 64
@@ -76,7 +82,10 @@ def base_spans(text: Column) -> Column:
 
 def context(text: Column, start: Column) -> Column:
     """The lexical pattern to the left of a place: the last word if it is a label such as `mail:`, else the last two; null if there are too few."""
-    before = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
+    return _context(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))), start)
+
+
+def _context(before: Column, start: Column) -> Column:
     words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
     one = F.get(words, F.size(words) - 1)
     two = F.concat_ws(" ", F.get(words, F.size(words) - 2), one)
@@ -84,72 +93,159 @@ def context(text: Column, start: Column) -> Column:
     return F.when(one.rlike("[:=#]$"), one).when(whole, two)
 
 
-def _candidates(text: Column, spans: Column) -> Column:
-    """Words with a digit that no base span touches, without the punctuation around them."""
-    def core(m: Column) -> Column:
-        lead = F.length(F.regexp_extract(m["value"], r"^[^\p{L}\p{N}+]*", 0))
-        value = F.regexp_replace(m["value"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-        begin = m["start"] + lead
-        return F.struct(begin.alias("start"), (begin + F.length(value)).alias("stop"), value.alias("value"))
+def _bare(part: Column) -> Column:
+    return F.regexp_replace(part, r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]+$", "")
 
-    free = lambda m: ~F.exists(spans, lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"]))
-    found = F.filter(F.transform(matches(text, CANDIDATE), core), lambda m: (F.length(m["value"]) >= 6) & free(m))
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    return F.when(text.rlike("[0-9]"), found).otherwise(empty)
 
+def _last(part: Column) -> Column:
+    """What is compared first of a context: its last part."""
+    return F.rtrim(F.regexp_replace(F.lower(part), r"\s+", " "))
 
-def scored_contexts(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, kept: Written | None = None) -> DataFrame:
-    """(kind, context) of the patterns that stay confident.
 
-    edges: context, value, kind (null: not a seed), n; one row for each of the
-    graph's edges. A seed has score 1 for its kind. Each round a pattern scores
-    the share of its occurrences that its instances' scores make up, and each
-    instance that isn't a seed the chance that one of its patterns is right.
-    Every step is a sum per key, joined back, so no pattern's instances meet in
-    one group.
+def places(docs: DataFrame, t: Column) -> DataFrame:
+    """A row for each part of each text: key, last (part before), first (bare), start, before and tail.
+
+    Places are counted by blocks of parts, so the work grows with a text's
+    length but for the blocks' own starts. Nothing is shuffled.
+    """
+    of = docs.select(F.xxhash64(t).alias("key"), F.split(t, PIECE, -1).alias("parts"))
+    joined = lambda a, start, n: F.array_join(F.slice(a, start, n), "")
+
+    def block(b: Column) -> Column:
+        low = F.greatest(b - BEFORE, F.lit(0))
+        return F.struct(F.length(joined(F.col("parts"), F.lit(1), low)).alias("at"), (b - low).alias("skip"), F.slice("parts", low + 1, b - low + BLOCK + AFTER).alias("parts"), F.least(F.lit(BLOCK), F.size("parts") - b).alias("n"))
+
+    blocks = of.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(BLOCK)), block)).alias("b")).select("key", "b.*")
+
+    def place(i: Column) -> Column:
+        low = F.greatest(i - BEFORE, F.lit(0))
+        part = F.get("parts", i)
+        start = F.col("at") + F.length(joined(F.col("parts"), F.lit(1), i))
+        return F.struct(_last(F.coalesce(F.get("parts", i - 1), F.lit(""))).alias("last"), _bare(part).alias("first"), start.alias("start"), joined(F.col("parts"), low + 1, i - low).alias("before"), joined(F.col("parts"), i + 1, F.lit(AFTER)).alias("tail"))
+
+    return blocks.select("key", F.inline(F.transform(F.sequence(F.col("skip"), F.col("skip") + F.col("n") - 1), place))).filter("first != ''")
+
+
+def _placed(at: DataFrame) -> DataFrame:
+    """Move the start behind the punctuation before a word, and add the context there."""
+    lead = F.regexp_extract("tail", r"^[^\p{L}\p{N}+@]*", 0)
+    at = at.withColumn("lead", lead).withColumn("start", F.col("start") + F.length("lead")).withColumn("before", F.concat("before", "lead"))
+    at = at.withColumn("tail", F.substring("tail", F.length("lead") + 1, F.length("tail")))
+    return at.withColumn("context", _context(F.right("before", F.lit(CONTEXT)), F.col("start"))).drop("lead", "before")
+
+
+def _untouched(at: DataFrame, taken: DataFrame) -> DataFrame:
+    """The spans that no fixed pattern's span of their text touches. taken: key, base; one row for each text that has any."""
+    hit = F.exists("base", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"]))
+    return at.join(taken, "key", "left").filter(F.col("base").isNull() | ~hit).drop("base")
+
+
+def _candidates(parts: DataFrame, contexts: DataFrame, taken: DataFrame) -> DataFrame:
+    """context, kind, value and n of what stands in the given contexts (context, kind) and has the kind's shape."""
+    keyed = contexts.withColumn("last", _last(F.element_at(F.split("context", PIECE, -1), -1)))
+    last = keyed.select("last").distinct()
+    at = _placed(parts.join(small(last, last.count()), "last", "left_semi"))
+    at = at.join(small(contexts, contexts.count()), "context")
+    shape = F.when(F.col("kind") == "email", F.regexp_extract("tail", SHAPES["email"], 0)).otherwise(F.regexp_extract("tail", SHAPES["number"], 0))
+    value = F.regexp_replace(shape, r"[^\p{L}\p{N}]+$", "")
+    at = at.withColumn("value", value).filter("value != ''").withColumn("stop", F.col("start") + F.length("value"))
+    return _untouched(at.select("key", "context", "kind", "value", "start", "stop"), taken).groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _occurrences(parts: DataFrame, values: DataFrame, taken: DataFrame) -> DataFrame:
+    """key, kind, value, start, stop and context of all places of the given values (value, kind)."""
+    keyed = values.withColumn("first", _bare(F.get(F.split("value", PIECE, -1), 0)))
+    at = parts.join(small(keyed, keyed.count()), "first")
+    at = _placed(at).withColumn("stop", F.col("start") + F.length("value"))
+    whole = F.startswith("tail", "value") & ~F.substring(F.col("tail"), F.length("value") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    return _untouched(at.filter(whole).select("key", "kind", "value", "start", "stop", "context"), taken)
+
+
+def confident_values(seeds: DataFrame, candidates: DataFrame, counts: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, kept: Written | None = None) -> DataFrame:
+    """(value, kind) of the instances that are right with at least `confidence`.
+
+    seeds: context, value, kind, n. candidates: context, kind, value, n; no
+    seeds. counts: kind, value, places; how often a candidate stands anywhere.
+    A seed has score 1 for its kind. Each round a pattern scores the share of
+    its occurrences that its instances' scores make up, and each instance the
+    chance that one of its patterns is right; a plain word, which may stand
+    anywhere, times the share of its places that are in the patterns. Every
+    step is a sum per key, joined back, so no pattern's instances meet in one
+    group.
     """
-    total = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    seeds = edges.filter("kind is not null").groupBy("context", "kind").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("seeds"))
-    known = materialize(seeds.filter(F.col("seeds") >= support).join(total, "context"), kept)
-    unknown = materialize(edges.filter("kind is null").join(known.select("context").distinct(), "context", "left_semi").select("context", "value", "n"), kept)
-    patterns = known.select("context", "kind", "hits", "total", (F.col("hits") / F.col("total")).alias("score"))
+    hits = seeds.groupBy("context", "kind").agg(F.sum("n").alias("hits"), F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= support)
+    total = seeds.select("context", "n").groupBy("context").agg(F.sum("n").alias("of_seeds"))
+    others = candidates.groupBy("context", "kind").agg(F.sum("n").alias("of_others"))
+    known = hits.join(total, "context").join(others, ["context", "kind"]).withColumn("total", F.col("of_seeds") + F.col("of_others"))
+    known = materialize(known.select("context", "kind", "hits", "total"), kept)
+    plain = ~F.col("value").rlike(r"[0-9@]|(?i)[(\[<{\x20]at[)\]>}\x20]")
+    inside = candidates.groupBy("kind", "value").agg(F.sum("n").alias("inside")).join(counts, ["kind", "value"])
+    share = materialize(inside.select("kind", "value", F.when(plain, F.least(F.col("inside") / F.col("places"), F.lit(1.0))).otherwise(F.lit(1.0)).alias("share")), kept)
+    patterns = known.withColumn("score", F.col("hits") / F.col("total"))
+    doubt = F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))
+    chances = lambda of: candidates.join(of, ["context", "kind"]).groupBy("value", "kind").agg((1 - doubt).alias("chance")).join(share, ["value", "kind"]).select("value", "kind", (F.col("chance") * F.col("share")).alias("chance"))
     for _ in range(rounds):
-        doubt = F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))
-        values = unknown.join(patterns, "context").groupBy("value", "kind").agg((1 - doubt).alias("chance"))
-        more = unknown.join(values, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("chance")).alias("more"))
-        patterns = known.join(more, ["context", "kind"], "left")
+        more = candidates.join(chances(patterns), ["value", "kind"]).groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("chance")).alias("more"))
         score = (F.col("hits") + F.coalesce("more", F.lit(0.0))) / F.col("total")
-        patterns = materialize(patterns.select("context", "kind", "hits", "total", score.alias("score")), kept)
+        patterns = materialize(known.join(more, ["context", "kind"], "left").select("context", "kind", "hits", "total", score.alias("score")), kept)
     enough = (F.col("score") >= confidence) & (2 * F.col("hits") >= F.col("total"))  # seeds must be half of what the context has
-    best = patterns.filter(enough).groupBy("context").agg(F.max(F.struct("score", "kind")).alias("best"))
-    return best.select("context", F.col("best.kind").alias("kind"))
+    return chances(patterns.filter(enough)).filter(F.col("chance") >= confidence).select("value", "kind")
 
 
 def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Written | None = None) -> DataFrame:
     """Spans of personal data in whole texts: id, base and found.
 
-    base: the fixed patterns' spans; found: spans that the learned contexts add.
-    Both are arrays of start, rank (of the kind), kind, stop and value, sorted.
-    Null and empty texts have none. Repeated rows are alike, an empty table
-    gives no rows. The texts are read once; what follows works on the spans.
+    base: the fixed patterns' spans; found: spans that are learned from their
+    contexts. Contexts of enough seeds give candidates of the seeds' kind;
+    those that are confident are found at all their places, and are seeds for
+    the contexts there in the next round, until no context is new. Both are
+    arrays of start, rank (of the kind), kind, stop and value, sorted. Null and
+    empty texts have none. Repeated rows are alike, an empty table gives no
+    rows.
     """
     t = text_or_empty(text)
-    of = docs.select(F.col(id_).alias("id"), t.alias("t")).withColumn("base", base_spans(F.col("t"))).withColumn("rest", _candidates(F.col("t"), F.col("base")))
-    with_context = lambda a: F.transform(a, lambda m: F.struct(context(F.col("t"), m["start"]).alias("context"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value")))
-    of = of.select("id", F.xxhash64("t").alias("key"), "base", F.transform("base", lambda m: context(F.col("t"), m["start"])).alias("left"), with_context(F.col("rest")).alias("rest"))
-    spans = materialize(of, kept)
+    of = docs.select(F.col(id_).alias("id"), t.alias("t")).withColumn("base", base_spans(F.col("t")))
+    spans = materialize(of.select("id", F.xxhash64("t").alias("key"), "base", F.transform("base", lambda m: context(F.col("t"), m["start"])).alias("left")), kept)
     seeds = spans.select(F.explode(F.arrays_zip("base", "left")).alias("m")).select(F.col("m.left").alias("context"), F.col("m.base.value").alias("value"), F.col("m.base.kind").alias("kind"))
-    others = spans.select(F.explode("rest").alias("m")).select("m.context", "m.value", F.lit(None).cast("string").alias("kind"))
-    edges = seeds.union(others).filter("context is not null").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
-    patterns = materialize(scored_contexts(materialize(edges, kept), kept=kept), kept)
+    grouped = lambda of: of.filter("context is not null").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
+    base_seeds = seeds = materialize(grouped(seeds), kept)
+    taken = materialize(spans.filter(F.size("base") > 0).select("key", "base").dropDuplicates(["key"]), kept)
+    parts = places(docs, t)
+    candidates = at = right = None
+    tried = []
+    while True:
+        contexts = seeds.groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= SUPPORT).select("context", "kind")
+        for old in tried:
+            contexts = contexts.join(old, ["context", "kind"], "left_anti")
+        contexts = materialize(contexts, kept)
+        if contexts.isEmpty():
+            break
+        tried.append(contexts)
+        new = materialize(_candidates(parts, contexts, taken), kept)
+        values = new.select("value", "kind").distinct()
+        if candidates is not None:
+            values = values.join(candidates.select("value", "kind"), ["value", "kind"], "left_anti")
+        new_at = materialize(_occurrences(parts, materialize(values, kept), taken), kept)
+        candidates = new if candidates is None else candidates.union(new)
+        at = new_at if at is None else at.union(new_at)
+        counts = at.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("places"))
+        # what is already known as right counts as a seed, not as a candidate
+        others = candidates if right is None else candidates.join(right, ["value", "kind"], "left_anti")
+        more = materialize(confident_values(seeds, others, counts, kept=kept), kept)
+        right = more if right is None else right.union(more)
+        if more.isEmpty():
+            break
+        seeds = materialize(base_seeds.union(grouped(at.join(right, ["value", "kind"], "left_semi")).select(*base_seeds.columns)), kept)
+    none = F.array().cast(SPAN)
+    if right is None:
+        return spans.select("id", "base", none.alias("found"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
-    hits = spans.select("id", "key", F.explode("rest").alias("m")).select("id", "key", "m.*").join(patterns, "context")
-    hits = hits.select("id", "key", "start", rank.cast("int").alias("rank"), "kind", "stop", "value").distinct()
-    found = hits.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop", "value"))).alias("found"))
-    found = materialize(found, kept)
-    found = small(found.withColumnsRenamed({"id": "_id", "key": "_key"}), found.count(), 10_000)
-    out = spans.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    return out.select("id", "base", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
+    hits = at.join(right, ["value", "kind"], "left_semi").select("key", "start", rank.cast("int").alias("rank"), "kind", "stop", "value").distinct()
+    found = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop", "value"))).alias("all"))
+    inner = lambda m, o: (o["kind"] == m["kind"]) & (o["start"] <= m["start"]) & (m["stop"] <= o["stop"]) & (o["value"] != m["value"])
+    found = materialize(found.select(F.col("key").alias("_key"), F.filter("all", lambda m: ~F.exists("all", lambda o: inner(m, o))).alias("found")), kept)
+    out = spans.join(small(found, found.count(), 10_000), F.col("key") == F.col("_key"), "left")
+    return out.select("id", "base", F.coalesce("found", none).alias("found"))
 
 
 def written(spans: Column) -> Column:

@@ -274,3 +274,21 @@ def test_empty_tables(spark, odd):
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
     assert language_model.model_scores(none, F.lit(True)).count() == 0
     assert sharding.shard(none.select("doc_id", "text"), {"n": F.lit(0.5)}, F.lit(1), [F.col("text")], ["doc_id"], shards=3).count() == 0
+
+
+def test_op8_bootstraps_values_of_all_shapes(spark):
+    mails = [f"u{i}@x{i}.org" for i in range(12)]
+    texts = [f"please write to {m} today" for m in mails]
+    texts += ["please write to john at host today", "please write to jdoe, today", "please write to j.doe(at)x today"]
+    numbers = [f"+44 20 7946 00{i:02d}" for i in range(12)]
+    texts += [f"then simply dial {n}, thanks" for n in numbers] + ["then simply dial 555 123 4567, thanks"]
+    discovered = [f"55{i}-1{i}2" for i in range(6)]
+    texts += [f"then simply dial {n}, thanks" for n in discovered]
+    texts += [f"ask on extension {n} there" for n in discovered] + ["ask on extension 98 there", "and 555 123 4567 elsewhere"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(texts[r["id"]][s["start"] : s["stop"]], s["kind"], r["id"]) for r in pii.extract(df).collect() for s in r["found"]}
+    pairs = {(v, k) for v, k, _ in found}
+    assert {("john at host", "email"), ("jdoe", "email"), ("j.doe(at)x", "email"), ("555 123 4567", "phone")} <= pairs
+    assert ("555 123 4567", "phone", len(texts) - 1) in found  # at all its places
+    assert ("98", "phone") in pairs  # its context has only discovered seeds
+    assert {v for v, _ in pairs} == {"john at host", "jdoe", "j.doe(at)x", "555 123 4567", "98", *discovered}
