@@ -16,11 +16,11 @@ KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short fails from any later start too
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Weak parts: an account name in an assignment, a mixed run of characters, a host with a scheme or port.
+#: Weak parts: an account name in an assignment, a run of letters (of one case or both) and digits, a host with a scheme or port.
 WEAK_ID = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
-WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,}")
+WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]*://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b", re.A)
-#: Code points from one part to the start of another that still lie in one scope; a blank line ends a scope too.
+#: Code points from the end of one part to the start of another that still lie in one scope; a blank line ends a scope too.
 REACH = 240
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -40,14 +40,15 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts of which complementary ones lie in the same scope.
 
     An interval join over sorted places: identifiers (access keys and account
-    names), secrets (assignments, hexadecimal runs and mixed runs) and endpoints
-    look for the nearest part of each other role to their left and right, in
-    logarithmic time. A weak identifier needs a secret in its scope, a weak
-    secret an identifier, an endpoint both. Weak parts that touch a base span
-    stand for that span and aren't reported again.
+    names), secrets (assignments, hexadecimal runs and runs of letters and
+    digits) and endpoints look for the part of each other role with the least
+    gap to their left and right, in logarithmic time. A weak identifier needs a
+    secret in its scope, a weak secret an identifier, an endpoint both. Weak
+    parts that touch a base span stand for that span and aren't reported again.
     """
     weak = [(m.start(1), 3, m.end(1)) for m in WEAK_ID.finditer(text)] if re.search(r"[:=]", text) else []
-    weak += [(m.start(), 4, m.end()) for m in WEAK_KEY.finditer(text)]
+    unnamed = WEAK_ID.sub(lambda m: " " * len(m[0]), text) if weak else text  # an account name is no part of a key
+    weak += [(m.start(), 4, m.end()) for m in WEAK_KEY.finditer(unnamed)]
     if ":" in text:
         weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     if not weak:
@@ -66,14 +67,16 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
             free.append(span)
     breaks = [m.start() for m in BLANK.finditer(text)]
     role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
-    places: dict[tuple[int, str], list[int]] = {}
-    for start, kind, _ in sorted(base + free):
-        places.setdefault((bisect_left(breaks, start), role[kind]), []).append(start)
+    places: dict[tuple[int, str], tuple[list[int], list[int]]] = {}  # starts, and the furthest end up to each
+    for start, kind, end in sorted(base + free):
+        starts, ends = places.setdefault((bisect_left(breaks, start), role[kind]), ([], []))
+        starts.append(start)
+        ends.append(max(end, ends[-1]) if ends else end)
 
     def near(span: Span, other: str) -> bool:
-        found = places.get((bisect_left(breaks, span[0]), other), [])
-        at = bisect_left(found, span[0])
-        return any(0 <= i < len(found) and abs(found[i] - span[0]) <= reach for i in (at - 1, at))
+        starts, ends = places.get((bisect_left(breaks, span[0]), other), ([], []))
+        at = bisect_left(starts, span[0])
+        return bool(at and span[0] - ends[at - 1] <= reach or at < len(starts) and starts[at] - span[2] <= reach)
 
     needs = {3: ("secret",), 4: ("id",), 5: ("id", "secret")}
     return [s for s in free if all(near(s, other) for other in needs[s[1]])]

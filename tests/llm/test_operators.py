@@ -292,3 +292,15 @@ def test_op8_bootstraps_values_of_all_shapes(spark):
     assert ("555 123 4567", "phone", len(texts) - 1) in found  # at all its places
     assert ("98", "phone") in pairs  # its context has only discovered seeds
     assert {v for v, _ in pairs} == {"john at host", "jdoe", "j.doe(at)x", "555 123 4567", "98", *discovered}
+
+
+def test_op9_gaps_and_one_case_keys():
+    kinds = lambda text: [secrets.KINDS[k] for _, k, _ in secrets.find(text)[1]]
+    assert kinds("Ab3" * 90 + " user=bob") == ["key", "id"]
+    assert kinds("token=" + "x" * 400 + " account: bob") == ["assign", "id"]
+    assert kinds("token=" + "x" * 400 + " password=abcdef" + "\n\naccount: bob") == ["assign", "assign"]
+    assert kinds("login: bob key " + "A1B2C3D4" * 3 + " at https://db.example.com") == ["id", "key", "endpoint"]
+    assert kinds("user=bob k " + "a1z2c3d4" * 3) == ["id", "key"]
+    assert kinds("user=bobsmith1234567890 secret=abcdefgh") == ["id", "assign"]
+    text = "Ab3" * 90 + " user=bob"
+    assert secrets.redact(text, secrets.find(text)[1]) == "[secret] user=[secret]"
