@@ -15,8 +15,8 @@ from .tokens import slices, text_bytes
 #: Filters see WIDTH bytes at every STRIDE-th place; a chunk of CHUNK bytes starts every STEP bytes.
 WIDTH, STRIDE, CHUNK, STEP = 8, 4, 256, 240
 EMBED, FILTERS = 4, 24
-#: Labelled rows of each class to fit on, and chunks taken of each, at most.
-FIT_ROWS, FIT_CHUNKS = 1000, 8
+#: Labelled rows of each class to fit on, at most; chunks of a step's texts that are held at once, and texts of a step.
+FIT_ROWS, FIT_HELD, FIT_TEXTS = 1000, 2048, 64
 
 
 @dataclass
@@ -95,8 +95,37 @@ class ByteConvNet:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
-def fit(chunks: list[list[bytes]], labels: list[int], prior: float, epochs: int = 12, rate: float = 0.01, seed: int = 1) -> ByteConvNet:
-    """Fit a network on texts given as some of their chunks, by Adam, with both classes weighted alike; then shift to `prior`."""
+def _best(net: ByteConvNet, data: np.ndarray) -> np.ndarray:
+    """For each chunk and filter the place of the maximum, as a byte's offset; chunks by FILTERS."""
+    out = np.empty((len(data), FILTERS), np.int32)
+    n = (CHUNK - WIDTH) // STRIDE + 1
+    for at in range(0, len(data), 256):
+        x = net.embed[data[at : at + 256]].reshape(-1, CHUNK * EMBED)
+        win = np.lib.stride_tricks.as_strided(x, (len(x), n, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * 4, 4))
+        out[at : at + 256] = (win.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(x), n, FILTERS).argmax(axis=1) * STRIDE
+    return out
+
+
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of the texts as rows of CHUNK bytes, and how many each text has."""
+    starts = [range(0, max(1, len(t) - CHUNK + STEP), STEP) for t in texts]
+    data = np.zeros((sum(map(len, starts)), CHUNK), np.uint8)
+    row = 0
+    for t, of in zip(texts, starts, strict=True):
+        for s in of:
+            c = t[s : s + CHUNK]
+            data[row, : len(c)] = np.frombuffer(c, np.uint8)
+            row += 1
+    return data, np.array([len(of) for of in starts])
+
+
+def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 12, rate: float = 0.01, seed: int = 1) -> ByteConvNet:
+    """Fit a network on whole texts, by Adam, with both classes weighted alike; then shift to `prior`.
+
+    Each step sees all chunks of its texts. They are gone through in parts of
+    FIT_HELD chunks, twice: first for the pooled values, then for the gradient,
+    which comes only from the place of each chunk's maximum.
+    """
     net = ByteConvNet.start(seed)
     r = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -105,39 +134,35 @@ def fit(chunks: list[list[bytes]], labels: list[int], prior: float, epochs: int
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for _ in range(epochs):
-        order = r.permutation(len(chunks))
-        for at in range(0, len(order), 64):
-            part = order[at : at + 64]
-            data = np.zeros((sum(len(chunks[i]) for i in part), CHUNK), np.uint8)
-            owner = np.repeat(np.arange(len(part)), [len(chunks[i]) for i in part])
-            for row, c in enumerate(c for i in part for c in chunks[i]):
-                data[row, : len(c)] = np.frombuffer(c, np.uint8)
-            n = (CHUNK - WIDTH) // STRIDE + 1
-            x = net.embed[data].reshape(len(data), -1)
-            win = np.lib.stride_tricks.as_strided(x, (len(data), n, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * 4, 4))
-            act = win.reshape(-1, WIDTH * EMBED) @ net.filters
-            act = act.reshape(len(data), n, FILTERS)
-            best = act.argmax(axis=1)
-            top = np.take_along_axis(act, best[:, None, :], 1)[:, 0] + net.bias
+        order = r.permutation(len(texts))
+        for at in range(0, len(order), FIT_TEXTS):
+            part = order[at : at + FIT_TEXTS]
+            data, count = chunked([texts[i] for i in part])
+            owner = np.repeat(np.arange(len(part)), count)
+            best = _best(net, data)
+            held = [slice(a, a + FIT_HELD) for a in range(0, len(data), FIT_HELD)]
+            where_at = lambda h: best[h][:, :, None] + np.arange(WIDTH)
+            bytes_at = lambda h: np.take_along_axis(data[h], where_at(h).reshape(len(data[h]), -1), 1)
+            picked_at = lambda seen: net.embed[seen].reshape(len(seen), FILTERS, WIDTH * EMBED)
+            top = np.concatenate([np.einsum("ckw,wk->ck", picked_at(bytes_at(h)), net.filters) for h in held]) + net.bias
             pool = np.maximum(top, 0)
-            count = np.bincount(owner, minlength=len(part)).astype(np.float32)
             starts = np.r_[0, np.cumsum(count)[:-1]].astype(int)
             mean = np.add.reduceat(pool, starts) / count[:, None]
             high = np.maximum.reduceat(pool, starts)
-            f = np.concatenate([mean, high], axis=1)
+            f = np.concatenate([mean, high], axis=1).astype(np.float32)
             z = f @ net.out + params[4][0]
-            g = (1 / (1 + np.exp(-z)) - y[part]) * weight[part] / len(part)
+            g = ((1 / (1 + np.exp(-z)) - y[part]) * weight[part] / len(part)).astype(np.float32)
             d_f = g[:, None] * net.out
             d_pool = d_f[owner, :FILTERS] / count[owner, None]
             where = pool == high[owner]
             d_pool = d_pool + d_f[owner, FILTERS:] * where / np.maximum(np.add.reduceat(where.astype(np.float32), starts), 1)[owner]
-            d_top = d_pool * (top > 0)
-            picked = np.take_along_axis(win, best[:, :, None], 1)  # chunks x filters x window
-            d_filters = np.einsum("ck,ckw->wk", d_top, picked)
-            d_win = d_top[:, :, None] * net.filters.T[None]
-            places = best[:, :, None] * STRIDE + np.arange(WIDTH)
-            seen = np.take_along_axis(data, places.reshape(len(data), -1), 1).ravel()
-            d_embed = np.stack([np.bincount(seen, d, 256) for d in d_win.reshape(-1, EMBED).T], axis=1)
+            d_top = (d_pool * (top > 0)).astype(np.float32)
+            d_filters, d_embed = np.zeros_like(net.filters), np.zeros((256, EMBED))
+            for h in held:
+                seen = bytes_at(h)
+                d_filters += np.einsum("ck,ckw->wk", d_top[h], picked_at(seen))
+                d_win = d_top[h][:, :, None] * net.filters.T[None]
+                d_embed += np.stack([np.bincount(seen.ravel(), d, 256) for d in d_win.reshape(-1, EMBED).T], axis=1)
             step += 1
             for p, grad, a, b in zip(params, (d_embed, d_filters, d_top.sum(axis=0), f.T @ g, np.array([g.sum()], np.float32)), m, v, strict=True):
                 a += 0.1 * (grad - a)
@@ -147,23 +172,8 @@ def fit(chunks: list[list[bytes]], labels: list[int], prior: float, epochs: int
     return net
 
 
-def _some_chunks(most: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for text in text_bytes(batch.column("text")):
-                starts = range(0, max(1, len(text) - CHUNK + STEP), STEP)
-                picked = [starts[round(i * (len(starts) - 1) / (most - 1))] for i in range(most)] if len(starts) > most else starts
-                out.append([text[s : s + CHUNK] for s in picked])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.list_(pa.binary()))], names=["id", "label", "chunks"])
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", label: str = "quality", text: str = "text", rows: int = FIT_ROWS, chunks: int = FIT_CHUNKS) -> ByteConvNet | float:
-    """Fit on at most `rows` labelled documents of each class, the first by a hash of the id, `chunks` evenly spread chunks of each.
+def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", label: str = "quality", text: str = "text", rows: int = FIT_ROWS) -> ByteConvNet | float:
+    """Fit on at most `rows` labelled documents of each class, the first by a hash of the id, with their whole texts.
 
     The class shares come from all labels. Labels other than 0 and 1 are left
     out. With labels of one class or none, gives their constant share (0.5).
@@ -175,11 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", label: str =
     first = [known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(rows) for c in (0, 1)]
     of = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     picked = of.join(F.broadcast(first[0].union(first[1]).dropDuplicates(["id"])), "id")  # 2 * rows ids at most
-    found = arrow(picked, _some_chunks(chunks), "id long, label int, chunks array<binary>").dropDuplicates(["id"]).orderBy("id").limit(2 * rows).collect()
+    found = picked.groupBy("id").agg(F.first("label").alias("label"), F.max("text").alias("text")).orderBy("id").limit(2 * rows).toArrow()
     prior = count[1] / (count[0] + count[1])
-    if len({r["label"] for r in found}) < 2:
+    marks = found.column("label").to_pylist()
+    if len(set(marks)) < 2:
         return prior
-    return fit([[bytes(c) for c in r["chunks"]] for r in found], [r["label"] for r in found], prior)
+    return fit(text_bytes(found.column("text")), marks, prior)
 
 
 def score(docs: DataFrame, model: ByteConvNet | float, id_: str = "doc_id", text: str = "text") -> DataFrame:

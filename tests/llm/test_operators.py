@@ -11,7 +11,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_model, near_dedup, packing, pii, quality_rules, secrets, sharding, topk
+from tessera.llm import language_model, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, topk
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import connect, same
 
@@ -304,3 +304,16 @@ def test_op9_gaps_and_one_case_keys():
     assert kinds("user=bobsmith1234567890 secret=abcdefgh") == ["id", "assign"]
     text = "Ab3" * 90 + " user=bob"
     assert secrets.redact(text, secrets.find(text)[1]) == "[secret] user=[secret]"
+
+
+def test_op5_fits_on_all_chunks(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(i, f"{long} {i}", i % 2) for i in range(6)] + [(6, None, 0)], "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda texts, labels, prior: seen.extend(zip(texts, labels, strict=True)) or prior)
+    assert quality_model.train(df, df) == 3 / 7
+    assert seen == [(f"{long} {i}".encode(), i % 2) for i in range(6)] + [(b"", 0)]
+    data, count = quality_model.chunked([t for t, _ in seen])
+    step, chunk = quality_model.STEP, quality_model.CHUNK
+    whole = lambda rows: (b"".join(bytes(r[:step]) for r in rows[:-1]) + bytes(rows[-1])).rstrip(b"\0")
+    assert data.shape[1] == chunk and whole(data[: count[0]]) == seen[0][0]
