@@ -93,6 +93,12 @@ def agg_total_concat(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("o_orderstatus").agg(aggregates.total(F.when(F.col("o_orderkey") % 2 == 0, 1)).alias("t"), aggregates.group_concat(F.col("o_orderkey"), F.col("o_orderkey")).alias("c"))
 
 
+@query("SELECT o_custkey, CAST(coalesce(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 END), 0) AS DOUBLE) AS t, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS c FROM orders GROUP BY o_custkey")
+def agg_total_concat_customer(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.groupBy("o_custkey").agg(aggregates.total(F.when(F.col("o_orderkey") % 2 == 0, 1)).alias("t"), aggregates.group_concat(F.col("o_orderkey"), F.col("o_orderkey")).alias("c"))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value > 50 THEN NULL ELSE 1 END) AS BIGINT) AS low FROM events GROUP BY event_type")
 def agg_array_nulls(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").groupBy("event_type").agg(aggregates.array_agg(F.when(~(F.col("value") > 50) | F.col("value").isNull(), 1)).alias("a"))
