@@ -29,26 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written(list):
-    """Tables written by one call of an operator, to be dropped once they are of no more use."""
+    """Folders written by one call of an operator, to be dropped once they are of no more use, and names of tables over them."""
 
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
 
-def materialize(df: DataFrame, kept: Written | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+
+def _folder(spark: SparkSession, kept: Written | None) -> str:
+    """A new folder in the shared one. What its writer doesn't drop goes when the session ends."""
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     if kept is not None:
         kept.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, kept: Written | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
+    path = _folder(df.sparkSession, kept)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, kept: Written, least: int = 48) -> DataFrame:
+    """Like materialize(), in buckets of `column`: grouping by it later needs no shuffle. A task writes a file for each of its values at most."""
+    spark = df.sparkSession
+    name = f"tessera_{uuid.uuid4().hex}"
+    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept.names.append(name)
+    df.write.bucketBy(n, column).option("path", _folder(spark, kept)).saveAsTable(name)
+    return spark.table(name)
 
 
 def drop(spark: SparkSession, kept: Written) -> None:
     """Delete written tables that no later step reads."""
+    for name in kept.names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in kept:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
     kept.clear()
+    kept.names.clear()
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,6 +80,14 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

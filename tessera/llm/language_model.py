@@ -10,6 +10,7 @@ bucket's keys or one batch.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, arrow, documents, drop, materialize, pieces
+from .common import Written, arrow, bucketed, documents, drop, materialize, pieces
 from .tokens import ODD, Words, mix, slices, text_bytes
 
 #: Bytes of text in a batch, about, and keys of a bucket, about.
@@ -42,7 +43,12 @@ def _keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[np.r_[0, ends[:-1]][: n]] = START
-    return word, before, mix(before * ODD + word), ends
+    return word, before, _pair(before, word), ends
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of pairs. 56 bits tell the pairs of a corpus apart well enough and pack in a byte less."""
+    return mix(before * ODD + word) & ~np.uint64(0xFF)
 
 
 def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,67 +91,73 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x.astype(kind)).tobytes()
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the byte planes of their differences, of which the upper ones are nearly all zero."""
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes, of which the upper ones are nearly all zero."""
     import zstandard
 
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).tobytes())
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view("u1").reshape(-1, x.itemsize).T).tobytes())
 
 
-def _unpack_keys(data: bytes) -> np.ndarray:
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
 
 
 def _batches(learn: str):
-    """Rows of one batch each: id, texts packed with their ids. `learn` is a boolean column."""
+    """Rows of one batch each: its texts' ids, flags, ends and words. `learn` is a boolean column."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
-        squeeze, number = zstandard.ZstdCompressor(level=1), 0
+        part, number = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text", BATCH):
                 texts = text_bytes(batch.column("text"))
                 train = np.array(batch.column(learn).to_pylist(), bool)
                 b = Batch.of(texts, train)
-                key = TaskContext.get().partitionId() << 32 | number
-                number += 1
-                ids = np.array(batch.column("id").to_pylist(), np.int64)
+                ids = batch.column("id")
+                flags = train | ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1
                 row = {
-                    "batch": key, "n": len(texts), "keys": len(b.words) + len(b.pairs),
-                    "ids": squeeze.compress(_pack(ids, "<i8")), "train": _pack(train, "u1"), "ends": squeeze.compress(_pack(b.ends, "<i8")), "word_at": squeeze.compress(_pack(b.word_at, "<u4")),
-                    "words": _pack(b.words, "<u8"), "word_count": squeeze.compress(_pack(b.word_count, "<u4")), "pair_bits": squeeze.compress(_pack(b.pair_count, "<u4")),
+                    "part": part, "batch": part << 32 | number, "keys": len(b.words) + len(b.pairs), "learned": int(train.sum()),
+                    "ids": _planes(ids.fill_null(0).to_numpy()), "flags": _pack(flags, "u1"), "ends": _planes(b.ends.astype("<i8")), "word_at": _planes(b.word_at.astype("<u4")), "words": _pack_keys(b.words),
                 }
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("keys", pa.int64()), *[(c, pa.binary()) for c in ("ids", "train", "ends", "word_at", "words", "word_count", "pair_bits")]]))
+                number += 1
+                yield pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.int64()) for c in ("part", "batch", "keys", "learned")] + [(c, pa.binary()) for c in ("ids", "flags", "ends", "word_at", "words")]))
 
     return run
 
 
-BATCH_SCHEMA = "batch long, n long, keys long, ids binary, train binary, ends binary, word_at binary, words binary, word_count binary, pair_bits binary"
-
+BATCH_SCHEMA = "part long, batch long, keys long, learned long, ids binary, flags binary, ends binary, word_at binary, words binary"
 
-def _read(row: dict) -> tuple[Batch, np.ndarray, np.ndarray]:
-    """The batch of a row again, its ids and training flags."""
-    import zstandard
 
-    open_ = zstandard.ZstdDecompressor().decompress
-    get = lambda c, kind, packed=True: np.frombuffer(open_(row[c]) if packed else row[c], kind)
-    words, at, ends = get("words", "<u8", False), get("word_at", "<u4").astype(np.int64), get("ends", "<i8")
+def _read(row: dict) -> tuple[Batch, np.ma.MaskedArray, np.ndarray]:
+    """The batch of a row again, its ids (null: masked) and training flags."""
+    words, at, ends = _unpack_keys(row["words"]), _from_planes(row["word_at"], "<u4").astype(np.int64), _from_planes(row["ends"], "<i8")
+    flags = np.frombuffer(row["flags"], "u1")
+    train, ids = flags & 1 > 0, np.ma.array(_from_planes(row["ids"], "<i8"), mask=flags & 2 > 0)
     word = words[at]
     before_at = np.empty_like(at)
     before_at[1:] = at[:-1]
     first = np.r_[0, ends[:-1]][: len(ends)]
     before_at[first] = -1
     before = np.where(before_at < 0, START, words[before_at])
-    pairs, _, pair_at = _distinct(mix(before * ODD + word), np.zeros(len(word)))
-    b = Batch(words, pairs, get("word_count", "<u4").astype(np.int64), get("pair_bits", "<u4").astype(np.int64), at, before_at, pair_at, ends)
-    return b, get("ids", "<i8"), get("train", "u1", False).astype(bool)
+    each = np.repeat(train, np.diff(np.r_[0, ends])).astype(np.float64)
+    pairs, pair_count, pair_at = _distinct(_pair(before, word), each)
+    b = Batch(words, pairs, np.bincount(at, each, len(words)).astype(np.int64), pair_count, at, before_at, pair_at, ends)
+    return b, ids, train
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,19 +205,20 @@ def _answer(table):
     })
 
 
-def _joined(left, right):
-    """The batch's row with the counts of all its words and pairs."""
-    import pyarrow as pa
+def _with_totals(left, right) -> Iterator[dict]:
+    """A part's batches, each with the summed counts of all its words and pairs."""
     import zstandard
 
-    squeeze, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor().decompress
-    parts = sorted(zip(right.column("bucket").to_pylist(), right.column("found").to_pylist(), strict=True), key=lambda x: x[0])
-    for i, kind in enumerate(("word_total", "pair_total")):
-        left = left.append_column(kind, pa.array([squeeze.compress(b"".join(open_(f) for b, f in parts if b % 2 == i))], pa.binary()))
-    return left.drop_columns(["keys"])
-
-
-JOINED_SCHEMA = BATCH_SCHEMA.replace("keys long, ", "") + ", word_total binary, pair_total binary"
+    open_ = zstandard.ZstdDecompressor().decompress
+    answers = defaultdict(list)
+    for bucket, batch, found in zip(*(right.column(c).to_pylist() for c in ("bucket", "batch", "found")), strict=True):
+        answers[batch].append((bucket, found))
+    for i in range(left.num_rows):
+        row = left.slice(i, 1).to_pylist()[0]
+        parts = sorted(answers.pop(row["batch"]))
+        for kind, name in enumerate(("word_total", "pair_total")):
+            row[name] = np.frombuffer(b"".join([open_(f) for b, f in parts if b % 2 == kind]), "<u8").astype(np.float64)
+        yield row
 
 
 def _estimates(row: dict, docs: int, tokens: int, types: int, delete: bool):
@@ -213,14 +226,9 @@ def _estimates(row: dict, docs: int, tokens: int, types: int, delete: bool):
 
     delete: take each token itself out of the counts, as held-out counts are.
     """
-    import zstandard
-
-    open_ = zstandard.ZstdDecompressor().decompress
     b, ids, train = _read(row)
-    word_total = np.frombuffer(open_(row["word_total"]), "<u8").astype(np.float64)
-    pair_total = np.frombuffer(open_(row["pair_total"]), "<u8").astype(np.float64)
-    c_word, c_pair = word_total[b.word_at], pair_total[b.pair_at]
-    c_before = np.where(b.before_at < 0, float(docs), word_total[b.before_at])
+    c_word, c_pair = row["word_total"][b.word_at], row["pair_total"][b.pair_at]
+    c_before = np.where(b.before_at < 0, float(docs), row["word_total"][b.before_at])
     off = 1.0 if delete else 0.0
     context = np.maximum(c_before - off, 0)
     bucket = np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
@@ -269,62 +277,57 @@ def model_scores(docs: DataFrame, train, id_: str = "doc_id", text: str = "text"
 
     Returns id, train, n_tokens, n_known, train_tokens, base_score (add-one
     unigram) and score. Null and empty texts are one end token. Repeated rows
-    count and are scored each; without training rows all counts are 0.
+    count and are scored each, a null id stays null; without training rows all
+    counts are 0, and an empty table gives no rows.
     """
     spark, kept = docs.sparkSession, Written()
     of = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
-    held = materialize(arrow(of, _batches("learn"), BATCH_SCHEMA), kept)
-    keys = held.agg(F.sum("keys")).first()[0] or 0
+    # the batches of a task stay together in one bucket, so they are never shuffled: only answers move to them
+    held = bucketed(arrow(of, _batches("learn"), BATCH_SCHEMA), "part", kept)
+    keys, lines = (x or 0 for x in held.agg(F.sum("keys"), F.sum("learned")).first())
     buckets = pieces(keys, 2 * KEYS, 48)
     asked = arrow(held, _ask(buckets), "bucket long, batch long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket long, batch long, found binary, types long, tokens long")
-    answers = materialize(answers, kept)
+    answers = materialize(answers.withColumn("part", F.shiftright("batch", 32)), kept)
     types, tokens = (x or 0 for x in answers.agg(F.sum("types"), F.sum("tokens")).first())
-    joined = materialize(held.groupBy("batch").cogroup(answers.select("bucket", "batch", "found").groupBy("batch")).applyInArrow(_joined, JOINED_SCHEMA), kept)
-    lines = arrow(held.select("train"), _count_train, "n long").agg(F.sum("n")).first()[0] or 0
+    joined = held.groupBy("part").cogroup(answers.select("part", "bucket", "batch", "found").groupBy("part"))
 
-    def cells(batches: Iterator) -> Iterator:
+    def cells(left, right):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, _, flags, _, bucket, p2, p1, _ = _estimates(row, lines, tokens, types, True)
-                use = np.repeat(flags, np.diff(np.r_[0, b.ends]))
-                code = (bucket[use] << 20 | _level(p2[use]) << 10 | _level(p1[use]))
-                code, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["cell", "n"])
+        seen = Counter()
+        for row in _with_totals(left, right):
+            b, _, flags, _, bucket, p2, p1, _ = _estimates(row, lines, tokens, types, True)
+            use = np.repeat(flags, np.diff(np.r_[0, b.ends]))
+            code, n = np.unique(bucket[use] << 20 | _level(p2[use]) << 10 | _level(p1[use]), return_counts=True)
+            seen.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+        return pa.table({"cell": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
     # at most BUCKETS x 1024 x 1024 cells, of which a few thousand occur, however large the corpus
-    found = arrow(joined, cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    found = joined.applyInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     table = np.array(sorted((r["cell"] >> 20, r["cell"] >> 10 & 1023, r["cell"] & 1023, r["n"]) for r in found), np.int64).reshape(-1, 4)
     weights = learn_weights(table, 1 / (types + 1))
 
-    def score(batches: Iterator) -> Iterator:
+    def score(left, right):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, ids, flags, c_word, bucket, p2, p1, flat = _estimates(row, lines, tokens, types, False)
-                w = weights[bucket]
-                logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * flat)
-                base = np.log10((c_word + 1) / (tokens + types + 1))
-                starts = np.r_[0, b.ends[:-1]][: len(b.ends)]
-                add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flags), pa.array(np.diff(np.r_[0, b.ends])), pa.array(add((c_word > 0).astype(np.int64))), pa.array(np.full(n, tokens, np.int64)), pa.array(add(base)), pa.array(add(logs))], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = materialize(arrow(joined, score, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        out = []
+        for row in _with_totals(left, right):
+            b, ids, flags, c_word, bucket, p2, p1, flat = _estimates(row, lines, tokens, types, False)
+            w = weights[bucket]
+            logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * flat)
+            base = np.log10((c_word + 1) / (tokens + types + 1))
+            starts = np.r_[0, b.ends[:-1]][: len(b.ends)]
+            add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+            columns = [pa.array(ids.data, mask=ids.mask), pa.array(flags), pa.array(np.diff(np.r_[0, b.ends])), pa.array(add((c_word > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(add(base)), pa.array(add(logs))]
+            out.append(pa.Table.from_arrays(columns, names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.concat_tables(out)
+
+    out = materialize(joined.applyInArrow(score, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     drop(spark, kept)
     return out
 
 
-def _count_train(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(t, "u1").sum()) for t in batch.column("train").to_pylist()], pa.int64())], names=["n"])
-
-
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by a model of those whose crc32(doc_id as text) mod 7 is not 2."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
