@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,7 +20,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Weak parts: an account name in an assignment, a run of letters (of one case or both) and digits, a host with a scheme or port.
 WEAK_ID = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
 WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+]*://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b", re.A)
+#: A scheme is taken from the start of its run of characters and a port after its host, so that a long run is read once.
+URL = re.compile(r"(?<![a-z0-9+])[0-9+]*+([a-z][a-z0-9+]*+://[A-Za-z0-9.-]++(?::[0-9]+)?)", re.A)
+PORT = re.compile(r"(?<=[A-Za-z0-9-]):[0-9]{2,5}\b", re.A)
+HOST_LETTERS = frozenset(string.ascii_letters + string.digits + ".-")
 #: Code points from the end of one part to the start of another that still lie in one scope; a blank line ends a scope too.
 REACH = 240
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -36,6 +40,32 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def _host(text: str, low: int, port: int) -> int:
+    """Where the host in front of a port begins: labels with dots between, from the first word boundary on; -1 if there is none."""
+    start = low
+    if (twice := text.rfind("..", low, port)) >= 0:
+        start = twice + 2
+    elif text[start] == ".":
+        start += 1
+    word = lambda i: 0 <= i < port and (text[i].isalnum() and text[i].isascii() or text[i] == "_")
+    while start < port and (text[start] == "." or word(start) == word(start - 1)):
+        start += 1
+    return start if text.find(".", start, port) >= 0 else -1
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Hosts with a scheme or a port, from left to right."""
+    out, low = [(m.start(1), m.end()) for m in URL.finditer(text)], 0
+    for m in PORT.finditer(text):
+        at = m.start()
+        while at > low and text[at - 1] in HOST_LETTERS:
+            at -= 1
+        if at < m.start() and (start := _host(text, at, m.start())) >= 0:
+            out.append((start, m.end()))
+        low = m.start() + 1
+    return sorted(out)
+
+
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts of which complementary ones lie in the same scope.
 
@@ -50,7 +80,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     unnamed = WEAK_ID.sub(lambda m: " " * len(m[0]), text) if weak else text  # an account name is no part of a key
     weak += [(m.start(), 4, m.end()) for m in WEAK_KEY.finditer(unnamed)]
     if ":" in text:
-        weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+        weak += [(start, 5, end) for start, end in endpoints(text)]
     if not weak:
         return []
     taken: list[list[int]] = []  # base and accepted spans, merged
@@ -105,8 +135,10 @@ def redact(text: str, spans: list[Span], mask: str = "[secret]") -> str:
 def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of whole texts: id, n_assign, n_access, n_hex, base, spans (`kind:start:end`, comma-joined; code points).
 
-    Null and empty texts have none. Scopes lie within a document, so the rows
-    are joined where they are and nothing is shuffled; each row stands alone.
+    Null and empty texts have none; an empty table gives no rows. Scopes lie
+    within a document, so the rows are joined where they are and nothing is
+    shuffled; each row, repeated ones too, stands alone, and a null id stays
+    null. The work is in proportion to a text's length.
     """
     import pyarrow as pa
 
