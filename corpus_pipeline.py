@@ -9,13 +9,13 @@ from tessera.llm.common import documents, materialize
 from tessera.llm.near_dedup import keep_one
 from tessera.llm.packing import packed_documents
 from tessera.llm.quality_model import fitted, keep_good
-from tessera.llm.quality_rules import apply_rules
+from tessera.llm.quality_rules import passing
 from tessera.llm.secrets import redacted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return apply_rules(docs).filter(F.col("rejected_by").isNull()).select(*docs.columns)
+    return passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
