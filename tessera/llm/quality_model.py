@@ -95,14 +95,25 @@ class ByteConvNet:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
-def _best(net: ByteConvNet, data: np.ndarray) -> np.ndarray:
-    """For each chunk and filter the place of the maximum, as a byte's offset; chunks by FILTERS."""
+def _own(texts: list[bytes], count: np.ndarray) -> np.ndarray:
+    """How many filter places of each chunk lie in its text, padded as pooled() pads it; those behind see only zero bytes."""
+    most = (CHUNK - WIDTH) // STRIDE + 1
+    least = WIDTH + (most - STEP // STRIDE) * STRIDE
+    size = np.array([max(-(-len(t) // STRIDE) * STRIDE, least) for t in texts])
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.minimum(most, (np.repeat(size, count) - within * STEP - WIDTH) // STRIDE + 1)
+
+
+def _best(net: ByteConvNet, data: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each chunk and filter the place of the maximum among the chunk's own, as a byte's offset; chunks by FILTERS."""
     out = np.empty((len(data), FILTERS), np.int32)
     n = (CHUNK - WIDTH) // STRIDE + 1
     for at in range(0, len(data), 256):
         x = net.embed[data[at : at + 256]].reshape(-1, CHUNK * EMBED)
         win = np.lib.stride_tricks.as_strided(x, (len(x), n, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * 4, 4))
-        out[at : at + 256] = (win.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(x), n, FILTERS).argmax(axis=1) * STRIDE
+        act = (win.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(x), n, FILTERS)
+        act[np.arange(n) >= own[at : at + 256, None]] = -np.inf
+        out[at : at + 256] = act.argmax(axis=1) * STRIDE
     return out
 
 
@@ -137,9 +148,10 @@ def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 12, r
         order = r.permutation(len(texts))
         for at in range(0, len(order), FIT_TEXTS):
             part = order[at : at + FIT_TEXTS]
-            data, count = chunked([texts[i] for i in part])
+            chosen = [texts[i] for i in part]
+            data, count = chunked(chosen)
             owner = np.repeat(np.arange(len(part)), count)
-            best = _best(net, data)
+            best = _best(net, data, _own(chosen, count))
             held = [slice(a, a + FIT_HELD) for a in range(0, len(data), FIT_HELD)]
             where_at = lambda h: best[h][:, :, None] + np.arange(WIDTH)
             bytes_at = lambda h: np.take_along_axis(data[h], where_at(h).reshape(len(data[h]), -1), 1)
