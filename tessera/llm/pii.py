@@ -24,7 +24,7 @@ AT, DOT = r"(?:\x20?[(\[<{]\x20?at\x20?[)\]>}]\x20?|\x20at\x20|\x20?@\x20?)", r"
 WRITTEN = rf"[\p{{L}}\p{{N}}._%+-]++{AT}[\p{{L}}\p{{N}}._-]++(?:{DOT}[\p{{L}}\p{{N}}._-]++)*+"
 SHAPES = {"email": rf"^(?i:{WRITTEN}|\S++)", "number": r"^(?:[+(]*[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)+|[^\s0-9]*+[0-9]\S*+)"}
 #: Parts of a block, and parts before and from a place that are looked at.
-BLOCK, BEFORE, AFTER = 64, 12, 12
+BLOCK, BEFORE, AFTER = 256, 12, 12
 #: Distinct seeds that a context must have, the confidence that it must keep, and rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 CONTEXT = 64
@@ -98,40 +98,51 @@ def _bare(part: Column) -> Column:
 
 
 def _last(part: Column) -> Column:
-    """What is compared first of a context: its last part."""
-    return F.rtrim(F.regexp_replace(F.lower(part), r"\s+", " "))
+    """What is compared first of a context: its last part. White space stands only behind a part."""
+    return F.rtrim(F.lower(part), F.lit(" \t\n\x0b\x0c\r\x85\u00a0"))
 
 
 def places(docs: DataFrame, t: Column) -> DataFrame:
-    """A row for each part of each text: key, last (part before), first (bare), start, before and tail.
+    """A row for each part of each text: key, its block, its number p in the block, and the part.
 
-    Places are counted by blocks of parts, so the work grows with a text's
-    length but for the blocks' own starts. Nothing is shuffled.
+    Texts are cut into blocks of parts, with some parts of their neighbours.
+    What surrounds a place is only put together by _around(), after a join has
+    left the places that matter; till then a row refers to its block. Nothing
+    is shuffled.
     """
     of = docs.select(F.xxhash64(t).alias("key"), F.split(t, PIECE, -1).alias("parts"))
-    joined = lambda a, start, n: F.array_join(F.slice(a, start, n), "")
 
     def block(b: Column) -> Column:
         low = F.greatest(b - BEFORE, F.lit(0))
-        return F.struct(F.length(joined(F.col("parts"), F.lit(1), low)).alias("at"), (b - low).alias("skip"), F.slice("parts", low + 1, b - low + BLOCK + AFTER).alias("parts"), F.least(F.lit(BLOCK), F.size("parts") - b).alias("n"))
+        return F.struct(F.length(_joined(F.col("parts"), F.lit(1), low)).alias("at"), (b - low).alias("skip"), F.slice("parts", low + 1, b - low + BLOCK + AFTER).alias("parts"), F.least(F.lit(BLOCK), F.size("parts") - b).alias("n"))
 
     blocks = of.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(BLOCK)), block)).alias("b")).select("key", "b.*")
+    return blocks.select("*", F.posexplode("parts").alias("p", "part"))
 
-    def place(i: Column) -> Column:
-        low = F.greatest(i - BEFORE, F.lit(0))
-        part = F.get("parts", i)
-        start = F.col("at") + F.length(joined(F.col("parts"), F.lit(1), i))
-        return F.struct(_last(F.coalesce(F.get("parts", i - 1), F.lit(""))).alias("last"), _bare(part).alias("first"), start.alias("start"), joined(F.col("parts"), low + 1, i - low).alias("before"), joined(F.col("parts"), i + 1, F.lit(AFTER)).alias("tail"))
 
-    return blocks.select("key", F.inline(F.transform(F.sequence(F.col("skip"), F.col("skip") + F.col("n") - 1), place))).filter("first != ''")
+def _joined(parts: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(parts, start, n), "")
+
+
+def _around(at: DataFrame, i: Column) -> DataFrame:
+    """For places i of their blocks: start, before and tail in the place of the block's columns."""
+    low = F.greatest(i - BEFORE, F.lit(0))
+    parts = F.col("parts")
+    start = F.col("at") + F.length(_joined(parts, F.lit(1), i))
+    at = _computed(at, start=start, before=_joined(parts, low + 1, i - low), tail=_joined(parts, i + 1, F.lit(AFTER)))
+    return at.drop("at", "skip", "n", "parts", "p", "part")
+
+
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row: a generator's row isn't put into every expression that uses it, as a plain column is."""
+    return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _placed(at: DataFrame) -> DataFrame:
     """Move the start behind the punctuation before a word, and add the context there."""
-    lead = F.regexp_extract("tail", r"^[^\p{L}\p{N}+@]*", 0)
-    at = at.withColumn("lead", lead).withColumn("start", F.col("start") + F.length("lead")).withColumn("before", F.concat("before", "lead"))
-    at = at.withColumn("tail", F.substring("tail", F.length("lead") + 1, F.length("tail")))
-    return at.withColumn("context", _context(F.right("before", F.lit(CONTEXT)), F.col("start"))).drop("lead", "before")
+    at = _computed(at, lead=F.regexp_extract("tail", r"^[^\p{L}\p{N}+@]*", 0))
+    moved = at.select(*[c for c in at.columns if c not in ("lead", "before", "tail", "start")], (F.col("start") + F.length("lead")).alias("start"), F.concat("before", "lead").alias("before"), F.substring("tail", F.length("lead") + 1, F.length("tail")).alias("tail"))
+    return _computed(moved, context=_context(F.right("before", F.lit(CONTEXT)), F.col("start"))).drop("before")
 
 
 def _untouched(at: DataFrame, taken: DataFrame) -> DataFrame:
@@ -144,7 +155,10 @@ def _candidates(parts: DataFrame, contexts: DataFrame, taken: DataFrame) -> Data
     """context, kind, value and n of what stands in the given contexts (context, kind) and has the kind's shape."""
     keyed = contexts.withColumn("last", _last(F.element_at(F.split("context", PIECE, -1), -1)))
     last = keyed.select("last").distinct()
-    at = _placed(parts.join(small(last, last.count()), "last", "left_semi"))
+    i = F.col("p") + 1  # the place behind the context
+    inside = (i >= F.col("skip")) & (i < F.col("skip") + F.col("n"))
+    found = parts.filter(inside).withColumn("last", _last(F.col("part"))).join(small(last, last.count()), "last", "left_semi").drop("last")
+    at = _placed(_around(found.filter(_bare(F.get("parts", i)) != ""), i))
     at = at.join(small(contexts, contexts.count()), "context")
     shape = F.when(F.col("kind") == "email", F.regexp_extract("tail", SHAPES["email"], 0)).otherwise(F.regexp_extract("tail", SHAPES["number"], 0))
     value = F.regexp_replace(shape, r"[^\p{L}\p{N}]+$", "")
@@ -155,8 +169,10 @@ def _candidates(parts: DataFrame, contexts: DataFrame, taken: DataFrame) -> Data
 def _occurrences(parts: DataFrame, values: DataFrame, taken: DataFrame) -> DataFrame:
     """key, kind, value, start, stop and context of all places of the given values (value, kind)."""
     keyed = values.withColumn("first", _bare(F.get(F.split("value", PIECE, -1), 0)))
-    at = parts.join(small(keyed, keyed.count()), "first")
-    at = _placed(at).withColumn("stop", F.col("start") + F.length("value"))
+    i = F.col("p")
+    inside = (i >= F.col("skip")) & (i < F.col("skip") + F.col("n"))
+    found = parts.filter(inside).withColumn("first", _bare(F.col("part"))).filter("first != ''").join(small(keyed, keyed.count()), "first").drop("first")
+    at = _placed(_around(found, i)).withColumn("stop", F.col("start") + F.length("value"))
     whole = F.startswith("tail", "value") & ~F.substring(F.col("tail"), F.length("value") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
     return _untouched(at.filter(whole).select("key", "kind", "value", "start", "stop", "context"), taken)
 
