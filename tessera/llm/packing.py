@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -14,14 +13,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Cache, byte_letters
 from .common import Written, arrow, documents, materialize, numbered
 from .tokens import slices
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
-#: Entries of each word cache in a Python worker; twice as many are held at most.
+#: Entries of the cache of words in a Python worker; twice as many, and the words of a batch, are held at most.
 CACHE_WORDS = 250_000
+#: Latin letters, and ASCII punctuation behind them: the split pattern cuts between both.
+STEM = r"^(?P<stem> ?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]+)$"
+#: White space that is not a single space or line break, and what the split of a batch marks words with.
+ODD = r"[ \n][ \n]|[\x00" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]"
 
 
 class ByteBPE:
@@ -29,8 +31,9 @@ class ByteBPE:
 
     The split pattern puts a single space in front of the word after it and cuts
     around a single line break, so in a text without other white space each
-    " word" is encoded alone. All other texts, and those that hold a special
-    token, are encoded whole.
+    " word" is encoded alone; one that isn't known yet, with all such words of
+    a batch of texts in one call. All other texts, and those that hold a
+    special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -39,31 +42,58 @@ class ByteBPE:
 
         self.whole = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r"\s\s|[^\S \n]|\x00")
-        self.letters = byte_letters()
-        self.words = Cache(self._word, CACHE_WORDS)
-        self.parts = Cache(self._part, CACHE_WORDS)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        """Ids of what the split pattern leaves whole."""
-        return array("I", [t.id for t in self.whole.model.tokenize("".join([self.letters[b] for b in part.encode()]))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word: Latin letters, and the punctuation behind them, are parts of their own; all else goes to the tokenizer."""
-        stem = word.rstrip(".,!?;:")
-        if stem[stem.startswith(" ") :].isalpha() and max(stem) < "\u0250":
-            return self.parts[stem] + self.parts[word[len(stem) :]]
-        return self.encode_whole(word)
-
-    def encode(self, text: str) -> bytes:
-        """Packed unsigned 32-bit ids."""
-        if self.odd.search(text) or any(s in text for s in self.specials):
-            return self.encode_whole(text)
-        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.words.__getitem__, words))
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each encoded alone."""
+        known, older = self.known, self.older
+        if new := [w for w in words if w not in known]:
+            unknown = [w for w in new if w not in older]
+            known.update((w, older[w]) for w in new if w in older)
+            found = self.whole.encode_batch_fast(unknown, add_special_tokens=False)
+            known.update(zip(unknown, [array("I", x.ids).tobytes() for x in found], strict=True))
+        out = list(map(known.__getitem__, words))
+        if len(known) >= CACHE_WORDS:
+            self.known, self.older = {}, known
+        return out
+
+    def encode(self, texts) -> list[bytes]:
+        """Packed unsigned 32-bit ids of each text of an Arrow array; null is empty.
+
+        Words are split, and told apart, by Arrow; letters and the punctuation
+        behind them apart, as they meet again in other words.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, ODD)
+        for s in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(whole, "", texts), " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        words = pc.dictionary_encode(lists.flatten())
+        stem, marks = pc.extract_regex(words.dictionary, STEM).flatten()
+        stem = pc.dictionary_encode(pc.coalesce(stem, words.dictionary))
+        marks = pc.dictionary_encode(pc.fill_null(marks, ""))
+        each = self.look_up(stem.dictionary.to_pylist()) + self.look_up(marks.dictionary.to_pylist())
+        parts = np.stack([stem.indices.to_numpy(), len(stem.dictionary) + marks.indices.to_numpy()], axis=1)
+        size = np.array([len(x) // 4 for x in each], np.int64)
+        at = parts[words.indices.to_numpy()].ravel()
+        n = size[at]
+        flat = np.frombuffer(b"".join(each), np.uint32)
+        starts = np.cumsum(size) - size
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        stops = np.r_[0, ends][2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]
+        out = [ids[a:b].tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode_whole(texts[i].as_py())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -79,8 +109,8 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = bpe.encode(text or "") + last
+                for doc, ids in zip(batch.column("id").to_pylist(), bpe.encode(batch.column("text")), strict=True):
+                    ids += last
                     n, piece, start = len(ids) // 4, 0, 0
                     stop = n - (n - 1) // capacity * capacity  # a longer document's first piece has what is left over
                     while start < n:
