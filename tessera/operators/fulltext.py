@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import written
+
 K1, B = 1.2, 0.75
 
 
@@ -14,7 +18,7 @@ def tokens(text: Column, kind: str = "default") -> Column:
         return F.array(text)
     if kind == "whitespace":
         return F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     if kind == "ngram":
         grams = lambda n: F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
         return F.concat(grams(2), grams(3))
@@ -41,11 +45,15 @@ def phrase(text: Column, words: str) -> Column:
 def bm25(docs: DataFrame, id_: str, text: str, query: list[str]) -> DataFrame:
     """id and score of the rows that have a query word; higher is better.
 
-    Only counts of the query's words leave a row: one pass for the corpus
-    figures, one row of sums on the driver, one pass for the scores.
+    Texts are read and cut into tokens once, into a table of a few numbers a
+    row; the corpus figures, one row of sums on the driver, and the scores come
+    from that table.
     """
-    t = tokens(F.coalesce(F.col(text), F.lit("")))
-    counts = docs.select(F.col(id_), F.size(t).alias("_n"), *[_count(t, word).alias(f"_{i}") for i, word in enumerate(query)])
+    found = tokens(F.coalesce(F.col(text), F.lit("")))
+    # a generator's row is computed once; a plain column would be put into each of the counts
+    once = docs.select(F.col(id_), F.inline(F.array(F.struct(found.alias("_t")))))
+    t = F.col("_t")
+    counts = written(once.select(id_, F.size(t).alias("_n"), *[_count(t, word).alias(f"_{i}") for i, word in enumerate(query)]))
     sums = counts.agg(F.count(F.lit(1)).alias("rows"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"d{i}") for i in range(len(query))]).first()
     score = F.lit(0.0)
     for i in range(len(query)):
@@ -56,8 +64,11 @@ def bm25(docs: DataFrame, id_: str, text: str, query: list[str]) -> DataFrame:
 
 
 def _count(t: Column, word: str) -> Column:
-    return F.size(F.filter(t, lambda x: x == F.lit(word)))
+    return F.size(t) - F.size(F.array_remove(t, word))
 
 
 def highlight(text: Column, words: list[str], open_tag: str, close_tag: str) -> Column:
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(words)})\b", f"{open_tag}$1{close_tag}")
+    """The text with the tags around each of the words, taken literally, where it is a whole token."""
+    any_ = "|".join(re.escape(w) for w in words)
+    safe = lambda tag: tag.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({any_})(?![\p{{L}}\p{{N}}])", f"{safe(open_tag)}$1{safe(close_tag)}")

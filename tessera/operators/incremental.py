@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,21 @@ def apply(table: DataFrame, delta: DataFrame) -> DataFrame:
     return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(WEIGHT).cast("int")))).drop("_i", WEIGHT)
 
 
+def filter_delta(delta: DataFrame, where: Column) -> DataFrame:
+    """Changes of a filtered view: those of the rows that pass."""
+    return delta.filter(where)
+
+
+def project_delta(delta: DataFrame, *columns: Column) -> DataFrame:
+    """Changes of a projected view; rows that become alike add up."""
+    return consolidate(delta.select(*columns, WEIGHT))
+
+
+def union_delta(*deltas: DataFrame) -> DataFrame:
+    """Changes of a UNION ALL of views."""
+    return consolidate(reduce(DataFrame.unionByName, deltas))
+
+
 def join_delta(left: DataFrame, d_left: DataFrame, right: DataFrame, d_right: DataFrame, on: list[str]) -> DataFrame:
     """Changes of an inner join: dL x R, L x dR and dL x dR, with weights multiplied. Null keys never match."""
     one = lambda df: df.withColumn(WEIGHT, F.lit(1)) if WEIGHT not in df.columns else df

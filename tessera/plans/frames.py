@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import python as P
 from tessera.functions import scalar as S
 from tessera.operators import aggregates, fulltext, incremental, relational, windows
-from tessera.sources.tables import series, table
+from tessera.sources.tables import series, stored_query, table
 
 QUERIES = {}
 ORACLE = {}
@@ -87,10 +87,10 @@ for _kind in ("CURRENT ROW", "GROUP", "TIES"):
     _exclude(_kind)
 
 
-@query("SELECT o_orderstatus, CAST(coalesce(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 END), 0) AS DOUBLE) AS t, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS c FROM orders WHERE o_orderkey < 300 GROUP BY o_orderstatus")
+@query("SELECT o_custkey, o_orderstatus, CAST(coalesce(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 END), 0) AS DOUBLE) AS t, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS c FROM orders GROUP BY o_custkey, o_orderstatus")
 def agg_total_concat(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey < 300")
-    return o.groupBy("o_orderstatus").agg(aggregates.total(F.when(F.col("o_orderkey") % 2 == 0, 1)).alias("t"), aggregates.group_concat(F.col("o_orderkey"), F.col("o_orderkey")).alias("c"))
+    o = table(spark, sf, "orders")
+    return o.groupBy("o_custkey", "o_orderstatus").agg(aggregates.total(F.when(F.col("o_orderkey") % 2 == 0, 1)).alias("t"), aggregates.group_concat(F.col("o_orderkey"), F.col("o_orderkey")).alias("c"))
 
 
 @query("SELECT o_custkey, CAST(coalesce(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 END), 0) AS DOUBLE) AS t, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS c FROM orders GROUP BY o_custkey")
@@ -195,7 +195,12 @@ def fts_match(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter(fulltext.match(F.col("text"), every=["the"], none=["and"])).select("doc_id")
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'license')) AS b FROM t),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS r, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
+SELECT doc_id, round(ln(1 + (r - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (r - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM c, s WHERE a + b > 0
+""")
 def fts_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.bm25(table(spark, sf, "documents"), "doc_id", "text", ["the", "license"]).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -228,3 +233,47 @@ def json_edit(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def json_tree(spark: SparkSession, sf: str) -> DataFrame:
     return P.JsonTree(F.lit('{"a":[1,2.5,{"b":null}],"c":"x"}'))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
+def bound_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = :status AND o_totalprice > :low", args={"status": "F", "low": 150000})
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 150000")
+def positional_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return spark.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > ?", args=[150000])
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey")
+def create_view(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW solvent AS SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 0")
+    return spark.sql("SELECT c_nationkey, count(*) AS n FROM solvent GROUP BY c_nationkey")
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def create_table_as(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return stored_query(spark, "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS p FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey - 1, o_totalprice * 2 FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 7 = 1")
+def ivm_filter_project(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    view = lambda df: incremental.project_delta(incremental.filter_delta(df, F.col("o_totalprice") > 100000), F.col("o_orderkey"), (F.col("o_totalprice") * 2).alias("p"))
+    gone = o.filter("o_orderkey % 7 = 0").withColumn(incremental.WEIGHT, F.lit(-1))
+    new = o.filter("o_orderkey % 7 = 1").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_totalprice").withColumn(incremental.WEIGHT, F.lit(1))
+    now = view(o.withColumn(incremental.WEIGHT, F.lit(1))).drop(incremental.WEIGHT)
+    return incremental.apply(now, view(gone.unionByName(new)))
+
+
+@query("SELECT k FROM (SELECT c_nationkey AS k FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT s_nationkey FROM supplier) t")
+def ivm_union_all(spark: SparkSession, sf: str) -> DataFrame:
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
+    gone = c.filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"), F.lit(-1).alias(incremental.WEIGHT))
+    new = s.filter("k < 5").withColumn(incremental.WEIGHT, F.lit(1))
+    now = c.select(F.col("c_nationkey").alias("k")).unionByName(s.filter("k >= 5"))
+    return incremental.apply(now, incremental.union_delta(gone, new))

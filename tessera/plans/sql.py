@@ -91,15 +91,26 @@ SQL: dict[str, str | tuple[str, str]] = {
     "crypto_digests": ("SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer"),
     "fuzzy_leven": "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey",
     "regexp_forms": ("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_like(url, '[0-9]+') AS digits FROM pages", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '[0-9]+') AS digits FROM pages"),
+    "math_more": "SELECT p_partkey, CAST(sign(p_size - 25) AS INTEGER) AS sg, round(acos(p_size / 1e2), 9) AS ac, round(asin(p_size / 1e2), 9) AS asi, round(atan(p_size / 1e1), 9) AS ata, round(atan2(p_size, 10), 9) AS at2, round(cos(p_size), 9) AS co, round(tan(p_size / 1e2), 9) AS ta, round(cosh(p_size / 1e2), 9) AS coh, round(sinh(p_size / 1e2), 9) AS sih, round(tanh(p_size / 1e2), 9) AS tah, round(acosh(1 + p_size / 1e2), 9) AS ach, round(asinh(p_size / 1e2), 9) AS ash, round(atanh(p_size / 1e2), 9) AS ath, round(pi(), 9) AS pi, round(log10(p_size), 9) AS l10, round(log2(p_size), 9) AS l2, round(radians(p_size), 9) AS ra, p_size % 7 AS md FROM part",
+    "math_log_trunc": ("SELECT p_partkey, round(log(3.0D, CAST(p_size AS DOUBLE)), 9) AS l3, CAST(p_retailprice AS BIGINT) AS tr, mod(p_size, 6) AS md, try_divide(p_retailprice, CAST(p_size % 3 AS DOUBLE)) AS q FROM part", "SELECT p_partkey, round(log(3.0, CAST(p_size AS DOUBLE)), 9) AS l3, CAST(trunc(p_retailprice) AS BIGINT) AS tr, mod(p_size, 6) AS md, p_retailprice / nullif(CAST(p_size % 3 AS DOUBLE), 0) AS q FROM part"),
+    "scalar_more": ("SELECT c_custkey, octet_length(concat(c_name, 'é')) AS o, concat_ws('-', c_name, NULL, c_mktsegment) AS cw, if(c_acctbal > 0, 'pos', 'neg') AS i, ltrim(concat('  ', c_name)) AS lt, rtrim(concat(c_name, '  ')) AS rt FROM customer", "SELECT c_custkey, CAST(octet_length(encode(c_name || 'é')) AS INTEGER) AS o, concat_ws('-', c_name, NULL, c_mktsegment) AS cw, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS i, ltrim('  ' || c_name) AS lt, rtrim(c_name || '  ') AS rt FROM customer"),
+    "like_escape": "SELECT v, v LIKE '10!%%' ESCAPE '!' AS l, v NOT LIKE '1!_%' ESCAPE '!' AS n FROM (VALUES ('10%x'), ('100x'), ('1_0'), (NULL)) AS t(v)",
+    "cast_text": ("SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(concat('0', o_orderkey) AS BIGINT) AS b, try_cast(o_orderpriority AS INT) AS bad, CAST(o_orderkey AS DOUBLE) / 4 AS r FROM orders", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST('0' || o_orderkey AS BIGINT) AS b, TRY_CAST(o_orderpriority AS INTEGER) AS bad, CAST(o_orderkey AS DOUBLE) / 4 AS r FROM orders"),
+    "table_statement": ("TABLE region", "SELECT * FROM region"),
+    "limit_all": ("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT ALL", "SELECT n_nationkey, n_name FROM nation"),
+    "compound_order_limit": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier ORDER BY k DESC LIMIT 7 OFFSET 2",
+    "win_correlated": "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS m, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r FROM customer c",
+    "agg_percentile": ("SELECT event_type, round(percentile(value, 0.25), 9) AS p25, round(percentile(value, 0.9), 9) AS p90 FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY event_type"),
+    "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
     # TPC-H on the columns at hand
     "tpch_q1": "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "tpch_q3": "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1996-03-15 00:00:00' GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "tpch_q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 2 GROUP BY n_name",
     "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
-    "tpch_q7": "SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM supplier, lineitem, orders, customer, nation a, nation b WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = a.n_nationkey AND c_nationkey = b.n_nationkey AND a.n_nationkey < 5 AND b.n_nationkey < 5 AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_name, b.n_name, year(l_shipdate)",
-    "tpch_q8": "SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN n2.n_nationkey = 3 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_regionkey = 1 AND s_nationkey = n2.n_nationkey GROUP BY year(o_orderdate)",
-    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
-    "tpch_q14": "SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey",
+    "tpch_q7": "SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM supplier, lineitem, orders, customer, nation a, nation b WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = a.n_nationkey AND c_nationkey = b.n_nationkey AND a.n_nationkey < 5 AND b.n_nationkey < 5 AND a.n_nationkey <> b.n_nationkey AND l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate <= TIMESTAMP '1996-12-31 00:00:00' GROUP BY a.n_name, b.n_name, year(l_shipdate)",
+    "tpch_q8": "SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN n2.n_nationkey = 3 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_regionkey = 1 AND s_nationkey = n2.n_nationkey AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-12-31 00:00:00' AND p_type = 'ECONOMY' GROUP BY year(o_orderdate)",
+    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1995-04-01 00:00:00' GROUP BY c_custkey, c_name, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
+    "tpch_q14": "SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1995-09-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-10-01 00:00:00'",
     "tpch_q17": "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_size < 20 AND l_quantity < (SELECT 0.5 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)",
     "tpch_q18": "SELECT c_name, o_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, o_orderkey",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def stored_query(spark: SparkSession, sql: str, name: str | None = None) -> DataFrame:
+    """CREATE TABLE ... AS: the rows of a query as a Parquet table of the session's catalogue, in the shared folder if the session names one."""
+    name = name or f"stored_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    at = f"LOCATION '{folder.rstrip('/')}/{name}'" if folder else ""
+    spark.sql(f"CREATE TABLE {name} USING parquet {at} AS {sql}")
+    return spark.table(name)
+
+
 def csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = False, columns: int | None = None) -> DataFrame:
     """A CSV file; without a header or schema the columns are c0, c1, ... as strings."""
     df = spark.read.csv(path, schema=schema, header=header)
