@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,14 +36,27 @@ class Node:
         return F.when(keys[self.dim] <= F.lit(self.cut), self.left.place(keys)).otherwise(self.right.place(keys))
 
 
-def _medians(atoms: DataFrame, tree: Node, keys: list[Column], open_: dict[int, Node], stats: dict, exact: float) -> None:
-    """Set the cut of each open node so that the weight at or below it is its left shards' part, within `exact`."""
+def seated(weights: list[int], shards: int, leaf: float) -> tuple[list[int], list[float]]:
+    """The shard of each heavy group, heaviest first into the one with the most room; and what room each shard has left."""
+    room = [(-leaf, s) for s in range(shards)]
+    heapq.heapify(room)
+    at = [0] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
+        free, at[i] = heapq.heappop(room)
+        heapq.heappush(room, (free + weights[i], at[i]))
+    left = dict((s, max(0.0, -free)) for free, s in room)
+    return at, [left[s] for s in range(shards)]
+
+
+def _medians(atoms: DataFrame, tree: Node, keys: list[Column], open_: dict[int, Node], stats: dict, exact: float, room: list[float]) -> None:
+    """Set the cut of each open node so that the weight at or below it is its left shards' part of the room, within `exact`."""
     todo = {}
     for first, node in open_.items():
         row = stats[first]
         widths = [(row[f"hi{d}"] >> TIE) - (row[f"lo{d}"] >> TIE) for d in range(len(keys))]
         node.dim = max(range(len(keys)), key=lambda d: (widths[d], -d))
-        todo[first] = {"lo": row[f"lo{node.dim}"], "hi": row[f"hi{node.dim}"], "want": row["w"] * (node.shards // 2) / node.shards}
+        left, whole = (sum(room[first : first + n]) for n in (node.shards // 2, node.shards))
+        todo[first] = {"lo": row[f"lo{node.dim}"], "hi": row[f"hi{node.dim}"], "want": row["w"] * left / whole if whole else 0}
     while todo:
         asked = [(f, open_[f].dim, t["lo"], t["hi"], (t["hi"] - t["lo"]) // BINS + 1) for f, t in todo.items()]
         asked = atoms.sparkSession.createDataFrame(asked, "_node int, _dim int, _lo long, _hi long, _step long")
@@ -74,13 +88,16 @@ def shard(docs: DataFrame, dims: dict[str, Column], weight: Column, group: list[
         dims: name to a number from 0 to 1 for each metadata dimension (null: 0).
         weight: bytes of a row.
         group: expressions; rows equal in all of them stay in one shard, at the
-            place of the one with the least `unique` values. A group of over a
-            quarter of a shard is spread over shards by a hash of `unique`.
+            place of the one with the least `unique` values. Groups of over a
+            quarter of a shard are seated first, and the tree fills the room
+            that they leave. Only a group of over a whole shard is spread, by a
+            hash of `unique`.
         unique: columns that tell rows apart. Rows equal in them too are alike.
         shards, target_bytes: how many leaves, or bytes of a leaf.
 
     Each level of the tree is a few aggregations to at most BINS sums a node;
-    the driver holds only the tree. Returns `unique`, weight, shard (int) and
+    the driver holds only the tree and the heavy groups, of which there are at
+    most four a shard. Returns `unique`, weight, shard (int) and
     slot (long, gapless from 0 in each shard). An empty table gives no rows.
     """
     names = list(dims)
@@ -91,12 +108,17 @@ def shard(docs: DataFrame, dims: dict[str, Column], weight: Column, group: list[
     shards = shards or max(1, -(-(total or 0) // max(1, target_bytes or 1)))
     leaf = max(1.0, (total or 0) / shards)
     key = ["_g1", "_g2"]
-    heavy = base.groupBy(*key).agg(F.sum("weight").alias("_all")).filter(F.col("_all") > leaf / 4)
-    heavy = F.broadcast(materialize(heavy.select(*key, F.ceil(F.col("_all") * 16 / leaf).alias("_parts")), kept))  # at most four for each shard
-    base = base.join(heavy, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0))).drop("_parts")
+    heavy = materialize(base.groupBy(*key).agg(F.sum("weight").alias("_all")).filter(F.col("_all") > leaf / 4), kept)
+    whole = heavy.filter(F.col("_all") <= leaf).orderBy(*key).collect()
+    seats, room = seated([r["_all"] for r in whole], shards, leaf)
+    seats = docs.sparkSession.createDataFrame([(r["_g1"], r["_g2"], s) for r, s in zip(whole, seats, strict=True)], "_g1 long, _g2 int, _seat int")
+    over = F.broadcast(heavy.filter(F.col("_all") > leaf).select(*key, F.ceil(F.col("_all") * 16 / leaf).alias("_parts")))  # less than one for each shard
+    base = base.join(over, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*unique), F.col("_parts")), F.lit(0))).drop("_parts")
+    base = base.join(F.broadcast(seats), key, "left")
+    light = base.filter("_seat is null")
     key.append("_part")
     least = F.min(F.struct(*unique, *[f"_{n}" for n in names])).alias("_of")
-    atoms = base.groupBy(*key).agg(F.sum("weight").alias("_w"), least)
+    atoms = light.groupBy(*key).agg(F.sum("weight").alias("_w"), least)
     tie = F.pmod(F.xxhash64(*key), F.lit(1 << TIE))
     atoms = materialize(atoms.select(*key, "_w", F.array(*[F.col(f"_of._{n}") * F.lit(1 << TIE) + tie for n in names]).alias("_keys")), kept)
     keys = [F.get("_keys", F.lit(d)) for d in range(len(names))]
@@ -105,12 +127,13 @@ def shard(docs: DataFrame, dims: dict[str, Column], weight: Column, group: list[
         ends = [f(keys[d]).alias(f"{n}{d}") for d in range(len(names)) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         stats = {r["_node"]: r for r in atoms.groupBy(tree.place(keys).alias("_node")).agg(F.sum("_w").alias("w"), *ends).collect()}
         full = {f: n for f, n in open_.items() if f in stats}
-        _medians(atoms, tree, keys, full, stats, leaf / 2000)
+        _medians(atoms, tree, keys, full, stats, leaf / 2000, room)
         for n in open_.values():
             n.dim, half = max(n.dim, 0), n.shards // 2
             n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
     placed = atoms.select(*key, tree.place(keys).cast("int").alias("shard"))
-    out = base.select(*unique, "weight", *key).join(placed, key).drop(*key)
+    out = light.select(*unique, "weight", *key).join(placed, key).drop(*key)
+    out = out.unionByName(base.filter("_seat is not null").select(*unique, "weight", F.col("_seat").alias("shard")))
     return numbered(materialize(out, kept), ["shard"], unique, "slot", rows or 0)
 
 
