@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a side that may be broadcast. A row here is a key or a few numbers, so this is some tens of MB.
 BROADCAST_ROWS = 500_000
@@ -116,5 +118,21 @@ def numbered(df: DataFrame, shard: list[str], order: list[str], into: str, rows:
     return ranked.join(sizes, [*shard, "_bucket"]).withColumn(into, (F.col("_before") + F.col("_rank")).cast("long")).drop("_bucket", "_before", "_rank")
 
 
-def arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def give_back() -> None:
+    """Return memory that Arrow's pool and the C library hold unused; a Python worker lives on for the next stage's tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """mapInArrow, after which a task's worker gives back unused memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)

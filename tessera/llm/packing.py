@@ -20,6 +20,8 @@ from .tokens import slices
 CAPACITY, END = 1024, 2
 #: Entries of the cache of words in a Python worker; twice as many, and the words of a batch, are held at most.
 CACHE_WORDS = 250_000
+#: Bytes of text that are tokenized at once; working space is about 25 times as much.
+AT_ONCE = 4 << 20
 #: Latin letters, and ASCII punctuation behind them: the split pattern cuts between both.
 STEM = r"^(?P<stem> ?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]+)$"
 #: White space that is not a single space or line break, and what the split of a batch marks words with.
@@ -107,7 +109,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
 
         bpe, last = tokenizer(path), array("I", [end]).tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", AT_ONCE):
                 rows = []
                 for doc, ids in zip(batch.column("id").to_pylist(), bpe.encode(batch.column("text")), strict=True):
                     ids += last

@@ -232,7 +232,7 @@ def keep_good(docs: DataFrame, model: ByteConvNet | float, threshold: float = 0.
                 scores = [model] * len(texts) if isinstance(model, float) else model.scores(texts)
                 yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def is_held_out(column: str = "doc_id"):

@@ -164,7 +164,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
                 new = [t and redact(t, find(t)[1]) for t in batch.column(at).to_pylist()]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
