@@ -116,3 +116,43 @@ def timediff(a: Column, b: Column) -> Column:
     days, ms = F.floor(rest / 86_400_000_000), F.floor((rest % 86_400_000_000) / 1000)
     part = lambda n, m: F.floor(ms / n) % m
     return F.format_string("%s%04d-%02d-%02d %02d:%02d:%02d.%03d", F.when(back, "-").otherwise("+"), F.floor(whole / 12), whole % 12, days, part(3_600_000, 24), part(60_000, 60), part(1000, 60), ms % 1000)
+
+
+MINUTE = 60_000_000
+
+
+def made(year: Column | int, month: Column | int, day: Column | int, hour: int = 0, minute: int = 0, second: float = 0) -> Column:
+    """A time from its parts."""
+    part = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.make_timestamp_ntz(*map(part, (year, month, day, hour, minute, second)))
+
+
+def from_unix(x: Column, unit: str = "s") -> Column:
+    """A time from whole seconds, milliseconds or microseconds since 1970, read as UTC."""
+    us = x.cast("long") * {"s": 1_000_000, "ms": 1000, "us": 1}[unit]
+    return added(made(1970, 1, 1), us)
+
+
+def added(ts: Column, us: Column | int) -> Column:
+    """A time some microseconds on, or back if negative."""
+    us = us if isinstance(us, Column) else F.lit(us)
+    return ts + F.make_dt_interval(secs=(us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def added_date(ts: Column, years: int, months: int = 0, days: int = 0) -> Column:
+    """A time some years, months and days on; a day that the month lacks is its last."""
+    return _later(_months_on(ts, years * 12 + months, "floor"), days * 86400)
+
+
+def between(a: Column, b: Column) -> Column:
+    """Microseconds from b to a."""
+    return micros(a) - micros(b)
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a is before, at or after b."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -26,6 +26,19 @@ def remainder(a: Column, b: Column) -> Column:
     return a.cast("bigint") % F.nullif(b.cast("bigint"), F.lit(0))
 
 
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor by Euclid's steps; 64-bit numbers need at most 92."""
+    pair = lambda x, y: F.struct(x.cast("bigint").alias("a"), y.cast("bigint").alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.nullif(s["b"], F.lit(0).cast("bigint"))))
+    return F.abs(F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair(a, b), step)["a"])
+
+
+def lcm(a: Column, b: Column) -> Column:
+    """Least common multiple; 0 if either is 0."""
+    by = gcd(a, b)
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("bigint")).otherwise(F.abs(F.call_function("div", a.cast("bigint"), by) * b))
+
+
 def shift_left(a: Column, n: int) -> Column:
     """Shift by n, to the right if n is negative; 64 and more shift all bits out."""
     if n < 0:

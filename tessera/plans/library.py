@@ -130,3 +130,52 @@ def win_lag_by_column(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", number.alias("rn"))
     asked = o.select("o_orderkey", "o_custkey", (F.col("rn") - F.col("o_orderkey") % 3).cast("int").alias("rn"))
     return asked.join(o.select("o_custkey", "rn", F.col("o_totalprice").alias("p")), ["o_custkey", "rn"], "left").select("o_orderkey", "p")
+
+
+@query(
+    "SELECT o_orderkey, strftime(make_timestamp(year(o_orderdate), month(o_orderdate), 1, 6, 30, 0), '%Y-%m-%d %H:%M:%S') AS made,"
+    " epoch_us(o_orderdate) + 5400000000 AS later, strftime(o_orderdate + INTERVAL 14 MONTH, '%Y-%m-%d') AS months,"
+    " CASE WHEN o_orderdate < TIMESTAMP '1995-06-17 00:00:00' THEN -1 WHEN o_orderdate > TIMESTAMP '1995-06-17 00:00:00' THEN 1 ELSE 0 END AS side,"
+    " strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-06-17 00:00:00') AS age FROM orders"
+)
+def time_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    ts = o.o_orderdate.cast("timestamp_ntz")
+    day = dates.made(1995, 6, 17)
+    made = dates.made(F.year(ts), F.month(ts), 1, 6, 30)
+    return o.select(
+        "o_orderkey", dates.datetime(made).alias("made"), dates.micros(dates.added(ts, 90 * dates.MINUTE)).alias("later"),
+        dates.date(dates.added_date(ts, 1, 2), "floor").alias("months"), dates.compared(ts, day).alias("side"), dates.iso(ts).alias("iso"), dates.between(ts, day).alias("age"),
+    )
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 * 1000000 AS s, epoch_us(ts) // 1000 * 1000 AS ms, epoch_us(ts) AS us FROM events")
+def time_from_unix(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    us = dates.micros(e.ts.cast("timestamp_ntz"))
+    back = lambda each, unit: dates.micros(dates.from_unix(F.floor(us / each), unit))
+    return e.select("event_id", back(1_000_000, "s").alias("s"), back(1000, "ms").alias("ms"), dates.micros(dates.from_unix(us, "us")).alias("us"))
+
+
+@query(
+    "SELECT p_partkey, len(list_filter(['BRASS', 'TIN'], lambda x: x = split_part(p_type, ' ', 3))) > 0 AS one_of, p_size & 12 AS a, p_size | 3 AS o, xor(p_size, 5) AS x, ~p_size AS inv, CAST(p_size AS BIGINT) << 3 AS l, p_size >> 2 AS r,"
+    " CASE WHEN regexp_matches(p_type, '(?i)promo') THEN 1 ELSE 0 END AS m, lcm(p_size, 12) AS c, CAST(round(degrees(radians(p_size))) AS INTEGER) AS d FROM part"
+)
+def bits_and_any(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    size = p.p_size
+    third = F.get(nested.string_to_array(p.p_type, " "), F.lit(2))
+    return p.select(
+        "p_partkey", F.coalesce(F.array_contains(F.array(F.lit("BRASS"), F.lit("TIN")), third), F.lit(False)).alias("one_of"), size.bitwiseAND(12).alias("a"), size.bitwiseOR(3).alias("o"), size.bitwiseXOR(5).alias("x"), F.bitwise_not(size).alias("inv"),
+        S.shift_left(size.cast("long"), 3).alias("l"), F.shiftright(size, 2).alias("r"), F.when(p.p_type.rlike("(?i)promo"), 1).otherwise(0).alias("m"), S.lcm(size, F.lit(12)).alias("c"), F.rint(F.degrees(F.radians(size))).cast("int").alias("d"),
+    )
+
+
+@query("SELECT event_id, k.key AS key, k.value::VARCHAR AS value, k.type AS kind FROM events, json_each(props) k WHERE props IS NOT NULL")
+def json_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of each row's top object, by Spark's VARIANT and without Python."""
+    e = table(spark, sf, "events").filter("props is not null").select("event_id", F.parse_json("props").alias("v"))
+    e.createOrReplaceTempView("_event_variants")
+    names = {"BIGINT": "UBIGINT", "STRING": "VARCHAR", "DOUBLE": "DOUBLE", "BOOLEAN": "BOOLEAN"}
+    out = spark.sql("SELECT event_id, key, CAST(value AS STRING) AS value, schema_of_variant(value) AS kind FROM _event_variants, LATERAL variant_explode(v)")
+    return out.replace(names, subset=["kind"])

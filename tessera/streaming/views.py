@@ -1,4 +1,4 @@
-"""Streaming views: stateful aggregates over an event stream, and change sets applied per micro-batch."""
+"""Streaming views: stateful aggregates over an event stream."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def totals(stream: DataFrame) -> DataFrame:
 
 
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Counts per hour and type, closed once the watermark has passed. An extra: the reference has no event time."""
+    """Counts per hour and type, closed once the watermark has passed."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
