@@ -215,7 +215,7 @@ def fuzzy_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, gcd(c_custkey, 36) AS g FROM customer")
 def math_gcd(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", P.gcd(F.col("c_custkey"), F.lit(36)).alias("g"))
+    return table(spark, sf, "customer").select("c_custkey", S.gcd(F.col("c_custkey"), F.lit(36)).alias("g"))
 
 
 @query()
