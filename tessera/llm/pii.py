@@ -23,8 +23,8 @@ PIECE = r"(?<=\s)(?=\S)|(?<=[:=#(<\['\x22])(?=[^\s:=#(<\['\x22])"
 AT, DOT = r"(?:\x20?[(\[<{]\x20?at\x20?[)\]>}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[(\[<{]\x20?dot\x20?[)\]>}]\x20?|\x20dot\x20)"
 WRITTEN = rf"[\p{{L}}\p{{N}}._%+-]++{AT}[\p{{L}}\p{{N}}._-]++(?:{DOT}[\p{{L}}\p{{N}}._-]++)*+"
 SHAPES = {"email": rf"^(?i:{WRITTEN}|\S++)", "number": r"^(?:[+(]*[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)+|[^\s0-9]*+[0-9]\S*+)"}
-#: Parts of a block, and parts before and from a place that are looked at.
-BLOCK, BEFORE, AFTER = 256, 12, 12
+#: Parts of a block, and parts before and from a place that are looked at. Each place's row has its block with it, so blocks are short.
+BLOCK, BEFORE, AFTER = 64, 12, 12
 #: Distinct seeds that a context must have, the confidence that it must keep, and rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 CONTEXT = 64
@@ -82,14 +82,14 @@ def base_spans(text: Column) -> Column:
 
 def context(text: Column, start: Column) -> Column:
     """The lexical pattern to the left of a place: the last word if it is a label such as `mail:`, else the last two; null if there are too few."""
-    return _context(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))), start)
+    return _context(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))), start > CONTEXT)
 
 
-def _context(before: Column, start: Column) -> Column:
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
+def _context(before: Column, cut: Column) -> Column:
+    words = F.array_remove(F.split(F.lower(before), r"\s+"), "")
     one = F.get(words, F.size(words) - 1)
     two = F.concat_ws(" ", F.get(words, F.size(words) - 2), one)
-    whole = F.size(words) > F.when(start > CONTEXT, 2).otherwise(1)  # the first word may have been cut
+    whole = F.size(words) > F.when(cut, 2).otherwise(1)  # the first word may have been cut
     return F.when(one.rlike("[:=#]$"), one).when(whole, two)
 
 
@@ -102,98 +102,158 @@ def _last(part: Column) -> Column:
     return F.rtrim(F.lower(part), F.lit(" \t\n\x0b\x0c\r\x85\u00a0"))
 
 
-def places(docs: DataFrame, t: Column) -> DataFrame:
-    """A row for each part of each text: key, its block, its number p in the block, and the part.
+def blocks(docs: DataFrame, t: Column) -> DataFrame:
+    """A row for each block of parts of each text: key, at, skip, parts, n and base.
 
-    Texts are cut into blocks of parts, with some parts of their neighbours.
-    What surrounds a place is only put together by _around(), after a join has
-    left the places that matter; till then a row refers to its block. Nothing
-    is shuffled.
+    A block has some parts of its neighbours too: `skip` before its own `n`. It
+    begins at code point `at`. base: start and stop of the fixed patterns' spans
+    that its places may touch. Nothing is shuffled, and no row grows with its text.
     """
-    of = docs.select(F.xxhash64(t).alias("key"), F.split(t, PIECE, -1).alias("parts"))
+    spans = F.transform(base_spans(t), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    of = docs.select(F.xxhash64(t).alias("key"), F.split(t, PIECE, -1).alias("parts"), spans.alias("spans"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,at:int>>").alias("out"))
 
-    def block(b: Column) -> Column:
-        low = F.greatest(b - BEFORE, F.lit(0))
-        return F.struct(F.length(_joined(F.col("parts"), F.lit(1), low)).alias("at"), (b - low).alias("skip"), F.slice("parts", low + 1, b - low + BLOCK + AFTER).alias("parts"), F.least(F.lit(BLOCK), F.size("parts") - b).alias("n"))
+    def step(state: Column, b: Column) -> Column:
+        begin = F.struct(b.alias("b"), state["at"].alias("at"))
+        return F.struct((state["at"] + F.length(_joined(F.col("parts"), b + 1, F.lit(BLOCK)))).alias("at"), F.concat(state["out"], F.array(begin)).alias("out"))
 
-    blocks = of.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(BLOCK)), block)).alias("b")).select("key", "b.*")
-    return blocks.select("*", F.posexplode("parts").alias("p", "part"))
+    def block(x: Column) -> Column:
+        b, low = x["b"], F.greatest(x["b"] - BEFORE, F.lit(0))
+        return F.struct(x["at"].alias("own"), (b - low).alias("skip"), F.slice("parts", low + 1, b - low + BLOCK + AFTER).alias("parts"), F.least(F.lit(BLOCK), F.size("parts") - b).alias("n"))
+
+    begins = F.aggregate(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(BLOCK)), none, step, lambda s: s["out"])
+    cut = of.select("key", "spans", F.explode(F.transform(begins, block)).alias("b")).select("key", "spans", "b.*")
+    at = F.col("own") - F.length(_joined(F.col("parts"), F.lit(1), F.col("skip")))
+    end = F.col("own") + F.length(F.array_join("parts", ""))  # or less
+    inside = F.filter("spans", lambda s: (s["start"] < end) & (F.col("own") < s["stop"]))
+    return cut.select("key", at.alias("at"), "skip", "parts", "n", F.when(F.size("spans") > 0, inside).otherwise(F.col("spans")).alias("base"))
 
 
 def _joined(parts: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(parts, start, n), "")
 
 
-def _around(at: DataFrame, i: Column) -> DataFrame:
-    """For places i of their blocks: start, before and tail in the place of the block's columns."""
-    low = F.greatest(i - BEFORE, F.lit(0))
-    parts = F.col("parts")
-    start = F.col("at") + F.length(_joined(parts, F.lit(1), i))
-    at = _computed(at, start=start, before=_joined(parts, low + 1, i - low), tail=_joined(parts, i + 1, F.lit(AFTER)))
-    return at.drop("at", "skip", "n", "parts", "p", "part")
-
-
 def _computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once a row: a generator's row isn't put into every expression that uses it, as a plain column is."""
+    """Add columns that are computed once a row: a generator's row isn't put into every expression that uses it, as a plain column is.
+
+    It isn't compiled, so what stands in a column twice is computed twice.
+    """
     return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _placed(at: DataFrame) -> DataFrame:
-    """Move the start behind the punctuation before a word, and add the context there."""
-    at = _computed(at, lead=F.regexp_extract("tail", r"^[^\p{L}\p{N}+@]*", 0))
-    moved = at.select(*[c for c in at.columns if c not in ("lead", "before", "tail", "start")], (F.col("start") + F.length("lead")).alias("start"), F.concat("before", "lead").alias("before"), F.substring("tail", F.length("lead") + 1, F.length("tail")).alias("tail"))
-    return _computed(moved, context=_context(F.right("before", F.lit(CONTEXT)), F.col("start"))).drop("before")
+def _lead() -> Column:
+    """The punctuation before the word of part i of a block."""
+    return F.regexp_extract(F.get("parts", F.col("i")), r"^[^\p{L}\p{N}+@]*", 0)
+
+
+def _start() -> Column:
+    return F.col("at") + F.length(_joined(F.col("parts"), F.lit(1), F.col("i"))) + F.length(_lead())
+
+
+def _tail() -> Column:
+    """The text from the word of part i on."""
+    return F.substring(_joined(F.col("parts"), F.col("i") + 1, F.lit(AFTER)), F.length(_lead()) + 1, F.lit(2**31 - 1))
+
 
+def _here() -> Column:
+    """The context of the word of part i."""
+    low = F.greatest(F.col("i") - BEFORE, F.lit(0))
+    before = F.concat(_joined(F.col("parts"), low + 1, F.col("i") - low), _lead())
+    return _context(F.right(before, F.lit(CONTEXT)), (F.col("at") > CONTEXT) | (_start() > CONTEXT))
 
-def _untouched(at: DataFrame, taken: DataFrame) -> DataFrame:
-    """The spans that no fixed pattern's span of their text touches. taken: key, base; one row for each text that has any."""
-    hit = F.exists("base", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"]))
-    return at.join(taken, "key", "left").filter(F.col("base").isNull() | ~hit).drop("base")
 
+def _untouched(start: Column, stop: Column) -> Column:
+    """Whether no fixed pattern's span touches these. A place's start is only computed where its block has such spans."""
+    return (F.size("base") == 0) | ~F.exists("base", lambda s: (s["start"] < stop) & (start < s["stop"]))
 
-def _candidates(parts: DataFrame, contexts: DataFrame, taken: DataFrame) -> DataFrame:
-    """context, kind, value and n of what stands in the given contexts (context, kind) and has the kind's shape."""
+
+def _candidates(of: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, kind, value and n of what stands in the given contexts (context, kind) and has the kind's shape.
+
+    of: blocks. A place's context is put together where the part before it ends
+    one of the contexts, the rest where the whole context is one of them.
+    """
     keyed = contexts.withColumn("last", _last(F.element_at(F.split("context", PIECE, -1), -1)))
     last = keyed.select("last").distinct()
-    i = F.col("p") + 1  # the place behind the context
-    inside = (i >= F.col("skip")) & (i < F.col("skip") + F.col("n"))
-    found = parts.filter(inside).withColumn("last", _last(F.col("part"))).join(small(last, last.count()), "last", "left_semi").drop("last")
-    at = _placed(_around(found.filter(_bare(F.get("parts", i)) != ""), i))
-    at = at.join(small(contexts, contexts.count()), "context")
+    first = F.greatest("skip", F.lit(1))  # a text's first part has none before it
+    parts = of.select("*", F.posexplode(F.slice("parts", first, F.col("skip") + F.col("n") - first)).alias("p", "part"))
+    # a join asks for its key twice if it may be null
+    found = parts.withColumn("last", F.coalesce(_last(F.col("part")), F.lit(""))).join(small(last, last.count()), "last", "left_semi")
+    found = found.withColumn("i", F.col("p") + first).drop("last", "p", "part", "skip", "n").filter(F.get("parts", F.col("i")).rlike(r"[\p{L}\p{N}]"))
+    at = found.withColumn("context", F.coalesce(_here(), F.lit(""))).join(small(contexts, contexts.count()), "context")
+    at = _computed(at, start=_start(), tail=_tail())
     shape = F.when(F.col("kind") == "email", F.regexp_extract("tail", SHAPES["email"], 0)).otherwise(F.regexp_extract("tail", SHAPES["number"], 0))
-    value = F.regexp_replace(shape, r"[^\p{L}\p{N}]+$", "")
-    at = at.withColumn("value", value).filter("value != ''").withColumn("stop", F.col("start") + F.length("value"))
-    return _untouched(at.select("key", "context", "kind", "value", "start", "stop"), taken).groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    at = _computed(at.select("context", "kind", "base", "start", "tail"), value=F.regexp_replace(shape, r"[^\p{L}\p{N}]+$", ""))
+    at = at.filter("value != ''").filter(_untouched(F.col("start"), F.col("start") + F.length("value")))
+    return at.groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _occurrences(parts: DataFrame, values: DataFrame, taken: DataFrame) -> DataFrame:
-    """key, kind, value, start, stop and context of all places of the given values (value, kind)."""
-    keyed = values.withColumn("first", _bare(F.get(F.split("value", PIECE, -1), 0)))
-    i = F.col("p")
-    inside = (i >= F.col("skip")) & (i < F.col("skip") + F.col("n"))
-    found = parts.filter(inside).withColumn("first", _bare(F.col("part"))).filter("first != ''").join(small(keyed, keyed.count()), "first").drop("first")
-    at = _placed(_around(found, i)).withColumn("stop", F.col("start") + F.length("value"))
-    whole = F.startswith("tail", "value") & ~F.substring(F.col("tail"), F.length("value") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    return _untouched(at.filter(whole).select("key", "kind", "value", "start", "stop", "context"), taken)
+def _places(of: DataFrame, values: DataFrame) -> DataFrame:
+    """The places of the given values (value, kind), each with its block and its number i there. of: blocks.
+
+    A value of one part stands just where that part's word is the value; only
+    for longer ones is the text from a place put together.
+    """
+    keyed = values.withColumn("of", F.split("value", PIECE, -1)).select("value", "kind", (F.size("of") == 1).alias("single"), _bare(F.get("of", F.lit(0))).alias("first")).filter("first != ''")
+    parts = of.select("*", F.posexplode(F.slice("parts", F.col("skip") + 1, F.col("n"))).alias("p", "part"))
+    at = parts.withColumn("first", F.coalesce(_bare(F.col("part")), F.lit(""))).join(small(keyed, keyed.count()), "first")
+    at = at.withColumn("i", F.col("p") + F.col("skip")).drop("first", "p", "part", "skip", "n")
+    whole = F.startswith(_tail(), "value") & ~F.substring(_tail(), F.length("value") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    return at.filter(F.col("single") | whole).filter(_untouched(_start(), _start() + F.length("value")))
 
 
-def confident_values(seeds: DataFrame, candidates: DataFrame, counts: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, kept: Written | None = None) -> DataFrame:
-    """(value, kind) of the instances that are right with at least `confidence`.
+def _counts(of: DataFrame, values: DataFrame) -> DataFrame:
+    """kind, value and places: how often each of the given values (value, kind) stands anywhere; no row for one that never does."""
+    return _places(of, values).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("places"))
 
-    seeds: context, value, kind, n. candidates: context, kind, value, n; no
-    seeds. counts: kind, value, places; how often a candidate stands anywhere.
-    A seed has score 1 for its kind. Each round a pattern scores the share of
-    its occurrences that its instances' scores make up, and each instance the
-    chance that one of its patterns is right; a plain word, which may stand
-    anywhere, times the share of its places that are in the patterns. Every
-    step is a sum per key, joined back, so no pattern's instances meet in one
-    group.
-    """
+
+def _occurrences(of: DataFrame, values: DataFrame) -> DataFrame:
+    """key, kind, value, start, stop and context of all places of the given values (value, kind)."""
+    at = _computed(_places(of, values), start=_start(), context=_here())
+    return at.select("key", "kind", "value", "start", (F.col("start") + F.length("value")).alias("stop"), "context")
+
+
+def patterns_of(seeds: DataFrame, candidates: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """context, kind, hits and total: how often seeds of the kind, and anything, stand in a context that has `support` seeds and a candidate."""
     hits = seeds.groupBy("context", "kind").agg(F.sum("n").alias("hits"), F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= support)
     total = seeds.select("context", "n").groupBy("context").agg(F.sum("n").alias("of_seeds"))
     others = candidates.groupBy("context", "kind").agg(F.sum("n").alias("of_others"))
     known = hits.join(total, "context").join(others, ["context", "kind"]).withColumn("total", F.col("of_seeds") + F.col("of_others"))
-    known = materialize(known.select("context", "kind", "hits", "total"), kept)
+    return known.select("context", "kind", "hits", "total")
+
+
+def _strong() -> Column:
+    """A pattern can have right instances only if seeds are half of what its context has."""
+    return 2 * F.col("hits") >= F.col("total")
+
+
+def reached(known: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, kept: Written | None = None) -> DataFrame:
+    """The candidates that any strong pattern's score depends on in so many rounds.
+
+    These are its own, in each round before the last also those that share a
+    pattern with them. All others can neither be right nor change what is, so
+    their places needn't be counted.
+    """
+    patterns = known.filter(_strong()).select("context", "kind")
+    for _ in range(rounds):
+        values = materialize(candidates.join(patterns, ["context", "kind"], "left_semi").select("value", "kind").distinct(), kept)
+        patterns = candidates.join(values, ["value", "kind"], "left_semi").select("context", "kind").distinct()
+    return candidates.join(values, ["value", "kind"], "left_semi")
+
+
+def confident_values(known: DataFrame, candidates: DataFrame, counts: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, kept: Written | None = None) -> DataFrame:
+    """(value, kind) of the instances that are right with at least `confidence`.
+
+    known: what patterns_of() gives for the seeds and all candidates.
+    candidates: context, kind, value, n; no seeds, at least all that are
+    reached(). counts: kind, value, places; how often a candidate stands
+    anywhere. A seed has score 1 for its kind. Each round a pattern scores the
+    share of its occurrences that its instances' scores make up, and each
+    instance the chance that one of its patterns is right; a plain word, which
+    may stand anywhere, times the share of its places that are in the patterns.
+    Every step is a sum per key, joined back, so no pattern's instances meet in
+    one group.
+    """
     plain = ~F.col("value").rlike(r"[0-9@]|(?i)[(\[<{\x20]at[)\]>}\x20]")
     inside = candidates.groupBy("kind", "value").agg(F.sum("n").alias("inside")).join(counts, ["kind", "value"])
     share = materialize(inside.select("kind", "value", F.when(plain, F.least(F.col("inside") / F.col("places"), F.lit(1.0))).otherwise(F.lit(1.0)).alias("share")), kept)
@@ -204,8 +264,7 @@ def confident_values(seeds: DataFrame, candidates: DataFrame, counts: DataFrame,
         more = candidates.join(chances(patterns), ["value", "kind"]).groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("chance")).alias("more"))
         score = (F.col("hits") + F.coalesce("more", F.lit(0.0))) / F.col("total")
         patterns = materialize(known.join(more, ["context", "kind"], "left").select("context", "kind", "hits", "total", score.alias("score")), kept)
-    enough = (F.col("score") >= confidence) & (2 * F.col("hits") >= F.col("total"))  # seeds must be half of what the context has
-    return chances(patterns.filter(enough)).filter(F.col("chance") >= confidence).select("value", "kind")
+    return chances(patterns.filter((F.col("score") >= confidence) & _strong())).filter(F.col("chance") >= confidence).select("value", "kind")
 
 
 def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Written | None = None) -> DataFrame:
@@ -225,9 +284,8 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
     seeds = spans.select(F.explode(F.arrays_zip("base", "left")).alias("m")).select(F.col("m.left").alias("context"), F.col("m.base.value").alias("value"), F.col("m.base.kind").alias("kind"))
     grouped = lambda of: of.filter("context is not null").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
     base_seeds = seeds = materialize(grouped(seeds), kept)
-    taken = materialize(spans.filter(F.size("base") > 0).select("key", "base").dropDuplicates(["key"]), kept)
-    parts = places(docs, t)
-    candidates = at = right = None
+    cut = blocks(docs, t)
+    candidates = counts = at = right = None
     tried = []
     while True:
         contexts = seeds.groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= SUPPORT).select("context", "kind")
@@ -237,26 +295,31 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
         if contexts.isEmpty():
             break
         tried.append(contexts)
-        new = materialize(_candidates(parts, contexts, taken), kept)
-        values = new.select("value", "kind").distinct()
-        if candidates is not None:
-            values = values.join(candidates.select("value", "kind"), ["value", "kind"], "left_anti")
-        new_at = materialize(_occurrences(parts, materialize(values, kept), taken), kept)
+        new = materialize(_candidates(cut, contexts), kept)
         candidates = new if candidates is None else candidates.union(new)
-        at = new_at if at is None else at.union(new_at)
-        counts = at.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("places"))
         # what is already known as right counts as a seed, not as a candidate
         others = candidates if right is None else candidates.join(right, ["value", "kind"], "left_anti")
-        more = materialize(confident_values(seeds, others, counts, kept=kept), kept)
-        right = more if right is None else right.union(more)
+        known = materialize(patterns_of(seeds, others), kept)
+        if known.filter(_strong()).isEmpty():
+            break
+        others = reached(known, others, kept=kept)
+        values = others.select("value", "kind").distinct()
+        if counts is not None:
+            values = values.join(counts, ["value", "kind"], "left_anti")
+        new_counts = materialize(_counts(cut, materialize(values, kept)), kept)
+        counts = new_counts if counts is None else counts.union(new_counts)
+        more = materialize(confident_values(known, others, counts, kept=kept), kept)
         if more.isEmpty():
             break
-        seeds = materialize(base_seeds.union(grouped(at.join(right, ["value", "kind"], "left_semi")).select(*base_seeds.columns)), kept)
+        new_at = materialize(_occurrences(cut, more), kept)
+        right = more if right is None else right.union(more)
+        at = new_at if at is None else at.union(new_at)
+        seeds = materialize(base_seeds.union(grouped(at).select(*base_seeds.columns)), kept)
     none = F.array().cast(SPAN)
     if right is None:
         return spans.select("id", "base", none.alias("found"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
-    hits = at.join(right, ["value", "kind"], "left_semi").select("key", "start", rank.cast("int").alias("rank"), "kind", "stop", "value").distinct()
+    hits = at.select("key", "start", rank.cast("int").alias("rank"), "kind", "stop", "value").distinct()
     found = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop", "value"))).alias("all"))
     inner = lambda m, o: (o["kind"] == m["kind"]) & (o["start"] <= m["start"]) & (m["stop"] <= o["stop"]) & (o["value"] != m["value"])
     found = materialize(found.select(F.col("key").alias("_key"), F.filter("all", lambda m: ~F.exists("all", lambda o: inner(m, o))).alias("found")), kept)

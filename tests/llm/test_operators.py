@@ -317,3 +317,30 @@ def test_op5_fits_on_all_chunks(spark, monkeypatch):
     step, chunk = quality_model.STEP, quality_model.CHUNK
     whole = lambda rows: (b"".join(bytes(r[:step]) for r in rows[:-1]) + bytes(rows[-1])).rstrip(b"\0")
     assert data.shape[1] == chunk and whole(data[: count[0]]) == seen[0][0]
+
+
+def test_op8_counts_only_what_matters(spark):
+    known = spark.createDataFrame([("mail me", "email", 9, 10), ("the the", "email", 5, 5000), ("of the", "email", 5, 4000)], "context string, kind string, hits long, total long")
+    rows = [("mail me", "jdoe", 1), ("the the", "jdoe", 1), ("the the", "house", 9), ("the the", "tree", 4), ("of the", "tree", 7), ("of the", "sea", 2), ("in a", "lake", 3)]
+    candidates = spark.createDataFrame([(c, "email", v, n) for c, v, n in rows], "context string, kind string, value string, n long")
+    counts = spark.createDataFrame([("email", v, 20) for v in ("house", "tree", "sea", "lake")] + [("email", "jdoe", 2)], "kind string, value string, places long")
+    values = lambda df: {r["value"] for r in df.collect()}
+    assert values(pii.reached(known, candidates, 1)) == {"jdoe"}
+    assert values(pii.reached(known, candidates, 2)) == {"jdoe", "house", "tree"}
+    assert values(pii.reached(known, candidates)) == {"jdoe", "house", "tree", "sea"}
+    assert pii.reached(known.filter("context != 'mail me'"), candidates).count() == 0
+    right = values(pii.confident_values(known, candidates, counts))
+    assert right == values(pii.confident_values(known, pii.reached(known, candidates), counts)) == {"jdoe"}
+
+
+def test_op8_blocks_are_short_and_places_exact(spark):
+    text = " ".join(f"(w{i % 7}) x@y.org" if i % 50 == 0 else f"w{i % 7}" for i in range(900)) + " w1-w2 w3 w4."
+    cut = pii.blocks(spark.createDataFrame([(text,)], "text string"), F.col("text")).cache()
+    assert cut.agg(F.max(F.size("parts"))).first()[0] <= 100 < cut.agg(F.sum("n")).first()[0]
+    values = spark.createDataFrame([("w3", "email"), ("w3 w4", "email"), ("w1-w2", "email"), ("org", "email")], "value string, kind string")
+    wanted = {v: [m.start() for m in re.finditer(rf"(?<![\w-]){v}(?![\w-])", text)] for v in ("w3", "w3 w4", "w1-w2")}
+    got = {}
+    for r in pii._occurrences(cut, values).collect():
+        got.setdefault(r["value"], []).append(r["start"])
+    assert {v: sorted(at) for v, at in got.items()} == wanted
+    assert {r["value"]: r["places"] for r in pii._counts(cut, values).collect()} == {v: len(at) for v, at in wanted.items()}
