@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, documents, materialize, small, text_or_empty
+from .common import Written, documents, fresh, materialize, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the contract's patterns. A possessive quantifier or a look-behind is put in only where
@@ -17,8 +19,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text with a valid match of the kind has somewhere: one search tells most texts apart.
+SIGNS = {"email": rf"[{LOCAL}]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 #: Where a text is cut into parts: before a word, and behind a label's sign or an opening bracket or quote.
-PIECE = r"(?<=\s)(?=\S)|(?<=[:=#(<\['\x22])(?=[^\s:=#(<\['\x22])"
+PIECE = r"(?<=[\s:=#(<\['\x22])(?:(?=[^\s:=#(<\['\x22])|(?<=\s)(?=\S))"
 #: What may stand where a seed of a kind stands: for an email an address written in words, else any word; for the others digit groups joined over spaces, else a word with a digit.
 AT, DOT = r"(?:\x20?[(\[<{]\x20?at\x20?[)\]>}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[(\[<{]\x20?dot\x20?[)\]>}]\x20?|\x20dot\x20)"
 WRITTEN = rf"[\p{{L}}\p{{N}}._%+-]++{AT}[\p{{L}}\p{{N}}._-]++(?:{DOT}[\p{{L}}\p{{N}}._-]++)*+"
@@ -28,6 +32,13 @@ BLOCK, BEFORE, AFTER = 64, 12, 12
 #: Distinct seeds that a context must have, the confidence that it must keep, and rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 CONTEXT = 64
+#: A context is a pattern while it has at most so many places for each place of a seed.
+PLACES = 10
+#: The share of texts (one in so many) whose places alone show that a context is none.
+PART = 16
+#: Contexts or values that are few enough to look for each of them in a whole text.
+FEW = 20
+WHITE = " \t\n\x0b\x0c\r\x85\u00a0"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -74,7 +85,7 @@ def base_spans(text: Column) -> Column:
         valid = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m))
         spans = F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["stop"].alias("stop"), m["value"].alias("value")))
         sign = {"email": "@", "ip": ".", "phone": "+"}.get(kind, "")
-        return F.when(F.contains(text, F.lit(sign)) & text.rlike("@" if kind == "email" else "[0-9]"), spans).otherwise(F.array().cast(SPAN))
+        return F.when(F.contains(text, F.lit(sign)) & text.rlike(SIGNS[kind]), spans).otherwise(F.array().cast(SPAN))
 
     parts = [of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
     return F.array_sort(F.concat(*parts))
@@ -99,7 +110,16 @@ def _bare(part: Column) -> Column:
 
 def _last(part: Column) -> Column:
     """What is compared first of a context: its last part. White space stands only behind a part."""
-    return F.rtrim(F.lower(part), F.lit(" \t\n\x0b\x0c\r\x85\u00a0"))
+    low = F.rtrim(F.lower(part))
+    other = _any([low.endswith(c) for c in WHITE[1:]])
+    return F.when(other, F.rtrim(low, F.lit(WHITE))).otherwise(low)
+
+
+def _ends(before: Column, part: Column) -> Column:
+    """A hash of the last two parts of a context; of the last alone if it may be a label or has no word."""
+    ascii_word = (part >= "0") & (part < ":") | (part >= "A") & (part < "[") | (part >= "a") & (part < "{")  # by the first character, to save the search
+    alone = _any([F.contains(part, F.lit(c)) for c in ":=#"]) | ~(ascii_word | part.rlike(r"[\p{L}\p{N}]"))
+    return F.xxhash64(F.when(alone, F.lit("")).otherwise(F.coalesce(_last(before), F.lit(""))), F.coalesce(_last(part), F.lit("")))
 
 
 def blocks(docs: DataFrame, t: Column) -> DataFrame:
@@ -170,17 +190,25 @@ def _untouched(start: Column, stop: Column) -> Column:
 def _candidates(of: DataFrame, contexts: DataFrame) -> DataFrame:
     """context, kind, value and n of what stands in the given contexts (context, kind) and has the kind's shape.
 
-    of: blocks. A place's context is put together where the part before it ends
-    one of the contexts, the rest where the whole context is one of them.
+    of: blocks. A place's context is put together where the two parts before it
+    end one of the contexts, the rest where the whole context is one of them.
+    Only emails may be without a digit.
     """
-    keyed = contexts.withColumn("last", _last(F.element_at(F.split("context", PIECE, -1), -1)))
-    last = keyed.select("last").distinct()
+    pieces = F.split("context", PIECE, -1)
+    ends = contexts.select(_ends(F.get(pieces, F.size(pieces) - 2), F.element_at(pieces, -1)).alias("ends"), (F.col("kind") == "email").alias("any"))
+    ends = ends.groupBy("ends").agg(F.max("any").alias("any"))
     first = F.greatest("skip", F.lit(1))  # a text's first part has none before it
     parts = of.select("*", F.posexplode(F.slice("parts", first, F.col("skip") + F.col("n") - first)).alias("p", "part"))
+    parts = parts.withColumn("i", F.col("p") + first)
+    word = F.get("parts", F.col("i"))
+    digit = word.rlike(r"[0-9]|\S\z")  # or what follows without a space may have one
+    if ends.filter("any").isEmpty():
+        parts = parts.filter(digit)
+    found = parts.withColumn("here", _ends(F.get("parts", F.col("i") - 2), F.col("part"))).join(small(ends, ends.count()), (F.col("here") == F.col("ends")) & (F.col("any") | digit), "left_semi")
+    found = found.drop("here", "p", "part", "skip", "n").filter(word.rlike(r"[\p{L}\p{N}]"))
     # a join asks for its key twice if it may be null
-    found = parts.withColumn("last", F.coalesce(_last(F.col("part")), F.lit(""))).join(small(last, last.count()), "last", "left_semi")
-    found = found.withColumn("i", F.col("p") + first).drop("last", "p", "part", "skip", "n").filter(F.get("parts", F.col("i")).rlike(r"[\p{L}\p{N}]"))
-    at = found.withColumn("context", F.coalesce(_here(), F.lit(""))).join(small(contexts, contexts.count()), "context")
+    found = found.withColumn("place", F.coalesce(_here(), F.lit("")))
+    at = found.join(small(contexts, contexts.count()), (F.col("place") == F.col("context")) & ((F.col("kind") == "email") | digit))
     at = _computed(at, start=_start(), tail=_tail())
     shape = F.when(F.col("kind") == "email", F.regexp_extract("tail", SHAPES["email"], 0)).otherwise(F.regexp_extract("tail", SHAPES["number"], 0))
     at = _computed(at.select("context", "kind", "base", "start", "tail"), value=F.regexp_replace(shape, r"[^\p{L}\p{N}]+$", ""))
@@ -188,13 +216,62 @@ def _candidates(of: DataFrame, contexts: DataFrame) -> DataFrame:
     return at.groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def possible(part: DataFrame, seeds: DataFrame, contexts: DataFrame, right: DataFrame | None = None, kept: Written | None = None) -> DataFrame:
+    """Those of the contexts (context, kind) that may be patterns; part: the blocks of some of the texts.
+
+    A context has at least the places of its seeds and those in these texts. If
+    these alone are too many, so are all, and the other texts need not be
+    searched for it. What is kept is counted in full later.
+    """
+    of_seeds = seeds.groupBy("context").agg(F.sum("n").alias("of_seeds"))
+    hits = seeds.groupBy("context", "kind").agg(F.sum("n").alias("hits")).join(contexts, ["context", "kind"])
+    room = hits.join(of_seeds, "context").withColumn("room", PLACES * F.col("hits") - F.col("of_seeds")).filter("room >= 0")
+    room = materialize(room.select("context", "kind", "room"), kept)
+    found = _candidates(part, room.select("context", "kind"))
+    if right is not None:
+        found = found.join(right, ["value", "kind"], "left_anti")
+    found = found.groupBy("context", "kind").agg(F.sum("n").alias("found"))
+    return room.join(found, ["context", "kind"], "left").filter(F.coalesce("found", F.lit(0)) <= F.col("room")).select("context", "kind")
+
+
+def _any(conditions: list[Column]) -> Column:
+    return functools.reduce(Column.__or__, conditions, F.lit(False))
+
+
+def around(docs: DataFrame, t: Column, contexts: DataFrame) -> DataFrame:
+    """The texts that may have a candidate in any of the contexts (context, kind): with a digit, or with the words of an email's context."""
+    emails = [r["context"] for r in contexts.filter("kind = 'email'").select("context").limit(FEW + 1).collect()]
+    if len(emails) > FEW:
+        return docs
+    low = fresh(docs, "_low")
+    # lower-casing looks at what stands around some letters, none of them ASCII
+    words = [[F.contains(F.col(low), F.lit(w)) for w in c.split(" ") if w.isascii()] for c in emails]
+    asked = [functools.reduce(Column.__and__, w, F.lit(True)) for w in words]
+    if not contexts.filter("kind != 'email'").isEmpty():
+        asked.append(t.rlike("[0-9]"))
+    return _computed(docs, **{low: F.lower(t)}).filter(_any(asked)).drop(low)
+
+
+def _first() -> Column:
+    """The word of a value's first part."""
+    return _bare(F.get(F.split("value", PIECE, -1), F.lit(0)))
+
+
+def having(docs: DataFrame, t: Column, values: DataFrame) -> DataFrame:
+    """The texts that may have any of the values (value, kind); all, if the values are many."""
+    few = [r["first"] for r in values.select(_first().alias("first")).filter("first != ''").distinct().limit(FEW + 1).collect()]
+    if len(few) > FEW:
+        return docs
+    return docs.filter(_any([F.contains(t, F.lit(v)) for v in few]))
+
+
 def _places(of: DataFrame, values: DataFrame) -> DataFrame:
     """The places of the given values (value, kind), each with its block and its number i there. of: blocks.
 
     A value of one part stands just where that part's word is the value; only
     for longer ones is the text from a place put together.
     """
-    keyed = values.withColumn("of", F.split("value", PIECE, -1)).select("value", "kind", (F.size("of") == 1).alias("single"), _bare(F.get("of", F.lit(0))).alias("first")).filter("first != ''")
+    keyed = values.withColumn("of", F.split("value", PIECE, -1)).select("value", "kind", (F.size("of") == 1).alias("single"), _first().alias("first")).filter("first != ''")
     parts = of.select("*", F.posexplode(F.slice("parts", F.col("skip") + 1, F.col("n"))).alias("p", "part"))
     at = parts.withColumn("first", F.coalesce(_bare(F.col("part")), F.lit(""))).join(small(keyed, keyed.count()), "first")
     at = at.withColumn("i", F.col("p") + F.col("skip")).drop("first", "p", "part", "skip", "n")
@@ -222,6 +299,11 @@ def patterns_of(seeds: DataFrame, candidates: DataFrame, support: int = SUPPORT)
     return known.select("context", "kind", "hits", "total")
 
 
+def _pattern() -> Column:
+    """Whether seeds are often enough among the places of a context for it to say anything of the others: it has no more candidates than a multiple of its seeds."""
+    return F.col("total") <= PLACES * F.col("hits")
+
+
 def _strong() -> Column:
     """A pattern can have right instances only if seeds are half of what its context has."""
     return 2 * F.col("hits") >= F.col("total")
@@ -274,7 +356,9 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
     contexts. Contexts of enough seeds give candidates of the seeds' kind;
     those that are confident are found at all their places, and are seeds for
     the contexts there in the next round, until no context is new. Both are
-    arrays of start, rank (of the kind), kind, stop and value, sorted. Null and
+    arrays of start, rank (of the kind), kind, stop and value, sorted. Contexts
+    with over PLACES places for each of a seed are no patterns; as values become
+    seeds, they are looked at again. Null and
     empty texts have none. Repeated rows are alike, an empty table gives no
     rows.
     """
@@ -284,7 +368,7 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
     seeds = spans.select(F.explode(F.arrays_zip("base", "left")).alias("m")).select(F.col("m.left").alias("context"), F.col("m.base.value").alias("value"), F.col("m.base.kind").alias("kind"))
     grouped = lambda of: of.filter("context is not null").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
     base_seeds = seeds = materialize(grouped(seeds), kept)
-    cut = blocks(docs, t)
+    part = blocks(docs.filter(F.pmod(F.xxhash64(t), F.lit(PART)) == 0), t)
     candidates = counts = at = right = None
     tried = []
     while True:
@@ -292,26 +376,30 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
         for old in tried:
             contexts = contexts.join(old, ["context", "kind"], "left_anti")
         contexts = materialize(contexts, kept)
+        if contexts.isEmpty():
+            break
+        contexts = materialize(possible(part, seeds, contexts, right, kept), kept)
         if contexts.isEmpty():
             break
         tried.append(contexts)
-        new = materialize(_candidates(cut, contexts), kept)
+        new = materialize(_candidates(blocks(around(docs, t, contexts), t), contexts), kept)
         candidates = new if candidates is None else candidates.union(new)
         # what is already known as right counts as a seed, not as a candidate
         others = candidates if right is None else candidates.join(right, ["value", "kind"], "left_anti")
-        known = materialize(patterns_of(seeds, others), kept)
+        known = materialize(patterns_of(seeds, others).filter(_pattern()), kept)
         if known.filter(_strong()).isEmpty():
             break
-        others = reached(known, others, kept=kept)
+        others = reached(known, others.join(known, ["context", "kind"], "left_semi"), kept=kept)
         values = others.select("value", "kind").distinct()
         if counts is not None:
             values = values.join(counts, ["value", "kind"], "left_anti")
-        new_counts = materialize(_counts(cut, materialize(values, kept)), kept)
+        values = materialize(values, kept)
+        new_counts = materialize(_counts(blocks(having(docs, t, values), t), values), kept)
         counts = new_counts if counts is None else counts.union(new_counts)
         more = materialize(confident_values(known, others, counts, kept=kept), kept)
         if more.isEmpty():
             break
-        new_at = materialize(_occurrences(cut, more), kept)
+        new_at = materialize(_occurrences(blocks(having(docs, t, more), t), more), kept)
         right = more if right is None else right.union(more)
         at = new_at if at is None else at.union(new_at)
         seeds = materialize(base_seeds.union(grouped(at).select(*base_seeds.columns)), kept)

@@ -344,3 +344,56 @@ def test_op8_blocks_are_short_and_places_exact(spark):
         got.setdefault(r["value"], []).append(r["start"])
     assert {v: sorted(at) for v, at in got.items()} == wanted
     assert {r["value"]: r["places"] for r in pii._counts(cut, values).collect()} == {v: len(at) for v, at in wanted.items()}
+
+
+def test_op8_makes_no_candidates_in_common_contexts(spark, monkeypatch):
+    """Two words that stand before five seeds and before very many other words are no pattern; rare ones beside them still are."""
+    texts = [f"go of the u{i}@x{i}.org now" for i in range(6)] + [f"text {i} " + "and of the sea " * 40 for i in range(100)]
+    texts += [f"Please Write\tto u{i}@x{i}.org today" for i in range(12)] + ["please write to john at host today", "see of the john at home"]
+    made = []
+    written = pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, kept=None: made.append(written(df, kept)) or made[-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(texts[r["id"]][s["start"] : s["stop"]], s["kind"], r["id"]) for r in pii.extract(df).collect() for s in r["found"]}
+    assert found == {("john at host", "email", len(texts) - 2)}
+    candidates = [df for df in made if df.columns == ["context", "kind", "value", "n"]]
+    assert [(r["context"], r["value"]) for df in candidates for r in df.collect()] == [("write to", "john at host")]
+
+
+def test_op8_possible_contexts(spark):
+    texts = ["in of the sea " * 30 + "my mail: a1 b (mail:b2) e-mail: b3 Write  to\nx3 write to y"]
+    part = pii.blocks(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text"))
+    rows = [("of the", "email", 2), ("of the", "ip", 40), ("mail:", "email", 1), ("write to", "card", 1), ("of sea", "ip", 1), ("of sea", "card", 11)]
+    seeds = spark.createDataFrame([(c, "v", k, n) for c, k, n in rows], "context string, value string, kind string, n long")
+    contexts = seeds.select("context", "kind")
+    got = {(r["context"], r["kind"]) for r in pii.possible(part, seeds, contexts).collect()}
+    assert got == {("of the", "ip"), ("mail:", "email"), ("write to", "card"), ("of sea", "card")}  # not 42 + 30 places for 2, nor 12 for 1
+    values = {(r["context"], r["kind"], r["value"], r["n"]) for r in pii._candidates(part, contexts).collect()}
+    assert values == {("of the", "email", "sea", 30), ("mail:", "email", "a1", 1), ("write to", "card", "x3", 1)}  # `(mail:` and `e-mail:` are other labels
+
+
+def test_op8_reads_only_texts_that_may_matter(spark):
+    df = spark.createDataFrame([(1, "Write to x"), (2, "no 7"), (3, "write it"), (4, "ΟΔΟΣ x"), (5, None)], "doc_id long, text string")
+    t = F.coalesce("text", F.lit(""))
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    of = lambda *rows: spark.createDataFrame(rows, "context string, kind string")
+    assert ids(pii.around(df, t, of(("write to", "email")))) == [1]
+    assert ids(pii.around(df, t, of(("write to", "email"), ("a b", "ip")))) == [1, 2]
+    assert ids(pii.around(df, t, of(("a b", "ip")))) == [2]
+    assert ids(pii.around(df, t, of(("\u03bf\u03b4\u03bf\u03c2 x", "email")))) == [1, 4]  # the word isn't ASCII and not looked for
+    assert ids(pii.around(df, t, of(*[(f"a{i} b", "email") for i in range(pii.FEW + 1)]))) == [1, 2, 3, 4, 5]
+    values = lambda *v: spark.createDataFrame([(x, "email") for x in v], "value string, kind string")
+    assert ids(pii.having(df, t, values("Write to", "7."))) == [1, 2]
+    assert ids(pii.having(df, t, values(*[f"v{i}" for i in range(pii.FEW + 1)]))) == [1, 2, 3, 4, 5]
+
+
+def test_op8_cuts_parts_as_before(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(" \t\n:=#(<['\"ab-@\u00e9", k=60)) for _ in range(300)]
+    old = r"(?<=\s)(?=\S)|(?<=[:=#(<\['\x22])(?=[^\s:=#(<\['\x22])"
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.split("text", pii.PIECE, -1).alias("new"), F.split("text", old, -1).alias("old"))
+    assert df.filter("new != old").count() == 0
+    last = spark.createDataFrame([(t[:n],) for t in texts for n in (3, 9)], "text string").select(pii._last(F.col("text")).alias("new"), F.rtrim(F.lower("text"), F.lit(pii.WHITE)).alias("old"))
+    assert last.filter("new != old").count() == 0
