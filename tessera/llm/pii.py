@@ -284,6 +284,14 @@ def _counts(of: DataFrame, values: DataFrame) -> DataFrame:
     return _places(of, values).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("places"))
 
 
+def _standing(of: DataFrame, values: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, kind, value and n: how often each of the given values (value, kind) stands in each of the contexts (context, kind), and in all others, as null."""
+    at = _places(of, values).withColumn("place", F.coalesce(_here(), F.lit(""))).select("kind", "value", "place")
+    asked = contexts.select("context", F.col("kind").alias("_kind"))
+    at = at.join(small(asked, asked.count()), (F.col("place") == F.col("context")) & (F.col("kind") == F.col("_kind")), "left")
+    return at.groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _occurrences(of: DataFrame, values: DataFrame) -> DataFrame:
     """key, kind, value, start, stop and context of all places of the given values (value, kind)."""
     at = _computed(_places(of, values), start=_start(), context=_here())
@@ -369,13 +377,13 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
     grouped = lambda of: of.filter("context is not null").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
     base_seeds = seeds = materialize(grouped(seeds), kept)
     part = blocks(docs.filter(F.pmod(F.xxhash64(t), F.lit(PART)) == 0), t)
-    candidates = counts = at = right = None
+    candidates = at = right = None
     tried = []
     while True:
         contexts = seeds.groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= SUPPORT).select("context", "kind")
+        contexts = supported = materialize(contexts, kept)
         for old in tried:
             contexts = contexts.join(old, ["context", "kind"], "left_anti")
-        contexts = materialize(contexts, kept)
         if contexts.isEmpty():
             break
         contexts = materialize(possible(part, seeds, contexts, right, kept), kept)
@@ -390,12 +398,11 @@ def extract(docs: DataFrame, id_: str = "doc_id", text: str = "text", kept: Writ
         if known.filter(_strong()).isEmpty():
             break
         others = reached(known, others.join(known, ["context", "kind"], "left_semi"), kept=kept)
-        values = others.select("value", "kind").distinct()
-        if counts is not None:
-            values = values.join(counts, ["value", "kind"], "left_anti")
-        values = materialize(values, kept)
-        new_counts = materialize(_counts(blocks(having(docs, t, values), t), values), kept)
-        counts = new_counts if counts is None else counts.union(new_counts)
+        values = materialize(others.select("value", "kind").distinct(), kept)
+        # a plain word's places in a context that is no pattern, but has its seeds, are not elsewhere
+        standing = materialize(_standing(blocks(having(docs, t, values), t), values, supported.join(known, ["context", "kind"], "left_anti")), kept)
+        counts = standing.groupBy("kind", "value").agg(F.sum("n").alias("places"))
+        others = others.union(standing.filter("context is not null").select(*others.columns))
         more = materialize(confident_values(known, others, counts, kept=kept), kept)
         if more.isEmpty():
             break
